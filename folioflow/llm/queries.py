@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import passages, substrings
+from folioflow.llm import passages, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op7_passage_dedup": passages.op7_passage_dedup,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 #: DuckDB SQL where a query can be expressed in it at the cost of its tables.
