@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import passages, simhash, substrings
+from folioflow.llm import embeddings, passages, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
+    "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op7_passage_dedup": passages.op7_passage_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
