@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import embeddings, passages, simhash, substrings
+from folioflow.llm import embeddings, lines, mixture, passages, quality, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
+    "op5_source_mixing": mixture.op5_source_mixing,
     "op7_passage_dedup": passages.op7_passage_dedup,
+    "op8_line_dedup": lines.op8_line_dedup,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 #: DuckDB SQL where a query can be expressed in it at the cost of its tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
