@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import embeddings, lines, mixture, passages, quality, simhash, substrings, tokencounts
+from folioflow.llm import embeddings, lines, mixture, passages, pieces, quality, simhash, substrings, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_token_counts": tokencounts.op4_token_counts,
     "op5_source_mixing": mixture.op5_source_mixing,
     "op7_passage_dedup": passages.op7_passage_dedup,
