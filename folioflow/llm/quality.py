@@ -162,9 +162,25 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Null text has no words (base_failed). Null languages and sources form groups of their own.
     Repeated rows count as so many documents. Other columns are ignored; an empty table gives none.
     """
+    return judge(cut(measure(docs, id_col, text_col, lang_col, source_col))).drop("row")
+
+
+def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     ready(docs.sparkSession)
-    ask = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    return judge(cut(ask.mapInArrow(_measure, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))))
+    ask = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return ask.mapInArrow(_measure, "doc_id long, lang string, source string, row long, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` whose document is kept, with all their columns.
+
+    The rejected are usually the smaller part, so the join carries their keys; a verdict follows from
+    a row's id, language, source and text, so repeated rows go or stay together.
+    """
+    out = judge(cut(measure(docs, id_col, text_col, lang_col, source_col))).where(~F.col("kept")).select("doc_id", "lang", "source", "row").distinct()
+    mine = [F.col(f"d.`{id_col}`").cast("long"), F.col(f"d.`{lang_col}`").cast("string"), F.col(f"d.`{source_col}`").cast("string"), F.xxhash64(F.col(f"d.`{text_col}`"))]
+    same = mine[0].eqNullSafe(F.col("o.doc_id")) & mine[1].eqNullSafe(F.col("o.lang")) & mine[2].eqNullSafe(F.col("o.source")) & (mine[3] == F.col("o.row"))
+    return docs.alias("d").join(out.alias("o"), same, "left_anti")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import embeddings, lines, mixture, passages, pieces, quality, simhash, substrings, tokencounts
+from folioflow.llm import embeddings, langid, lines, mixture, passages, pieces, quality, simhash, substrings, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_token_counts": tokencounts.op4_token_counts,
     "op5_source_mixing": mixture.op5_source_mixing,
+    "op6_language_id": langid.op6_language_id,
     "op7_passage_dedup": passages.op7_passage_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality_rules": quality.op9_quality_rules,

@@ -192,5 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does: that with the smallest id.
+    Rows with a null id stay where no other row of their group has an id. Of rows with equal ids in
+    one group all stay."""
+    out = near_duplicates(docs, id_col, text_col, radius).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
+    return docs.alias("d").join(out.alias("o"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("o.id")), "left_anti")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
