@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import embeddings, langid, lines, mixture, passages, pieces, quality, simhash, substrings, tokencounts
+from folioflow.llm import embeddings, langid, lines, mixture, oracles, passages, pieces, quality, simhash, substrings, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where a query can be expressed in it at the cost of its tables.
-ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = oracles.ORACLES
