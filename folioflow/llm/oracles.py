@@ -7,7 +7,8 @@ from folioflow.llm import lines, quality
 #: Windows of 50 bytes as hexadecimal strings; a byte goes if a repeated window covers it.
 SUBSTRINGS = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(CAST(len(h) // 2 - 49 AS BIGINT))) AS pos FROM d WHERE len(h) >= 100)),
+seg AS (SELECT doc_id, s, substr(h, 2 * s + 1, 2098) AS g FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) // 2 AS BIGINT), 1000)) AS s FROM d)),
+w AS (SELECT doc_id, s + k AS pos, substr(g, 2 * k + 1, 100) AS w FROM (SELECT doc_id, s, g, unnest(range(least(1000, CAST(len(g) // 2 - 49 AS BIGINT)))) AS k FROM seg WHERE len(g) >= 100)),
 r AS (SELECT doc_id, pos FROM w JOIN (SELECT w, min(doc_id) AS first FROM w GROUP BY w HAVING min(doc_id) <> max(doc_id)) f USING (w) WHERE doc_id > first),
 s AS (SELECT doc_id, pos, coalesce(pos > 50 + max(pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM r),
 g AS (SELECT doc_id, pos, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM s),
