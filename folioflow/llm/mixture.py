@@ -117,16 +117,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: each document once for every whole time
     that it is taken, and once more up to the word where the shard's last block ends."""
-    got = mix(docs, id_col, text_col, source_col).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("row").alias("_row"), "size", "taken").distinct()
-    key = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & F.col(f"d.`{source_col}`").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("_row"))
+    got = mix(docs, id_col, text_col, source_col).where("taken > 0").distinct()
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    text = F.col(f"d.`{text_col}`")
+    key = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("doc_id")) & F.col(f"d.`{source_col}`").cast("string").eqNullSafe(F.col("source")) & (F.xxhash64(text) == F.col("row"))
     copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    rows = docs.alias("d").join(got, key).withColumn("_copy", F.explode(copies))
-    here = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size"))
-    head = F.expr(f"regexp_extract(`{text_col}`, concat('^[ \\\\t-\\\\r]*+(?:[^ \\\\t-\\\\r]++[ \\\\t-\\\\r]*+)', '{{', _here, '}}'), 0)")
-    out = rows.withColumn("_here", here).withColumn(text_col, F.when(F.col("_here") < F.col("size"), head).otherwise(F.col(f"`{text_col}`")))
+    rows = row.join(got, key).withColumn("copy", F.explode(copies))
+    rows = rows.withColumn("here", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    # A word with the white space before it, so that the head keeps the text's own spacing.
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("here").cast("int")), "")
+    rows = rows.withColumn("new", F.when(F.col("here") < F.col("size"), head).otherwise(text))
+    given = {text_col: F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+        given["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(given.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
