@@ -130,6 +130,27 @@ def test_simhash_groups(spark, docs):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_similar_groups(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, family = [], {}
+    for g in range(40):
+        base = [word() for _ in range(rng.choice([110, 200, 900]))]
+        for k in range(4):
+            copy = list(base)
+            for _ in range(0 if k < 2 else max(1, len(base) // 200)):
+                copy[rng.randrange(len(base))] = word()
+            rows.append((g * 10 + k, " ".join(copy)))
+            family[g * 10 + k] = g * 10
+    rows += [(1000 + i, " ".join(word() for _ in range(80))) for i in range(40)] + [(2000, None), (2001, ""), (2002, "be " * 90), (2003, "of " * 90)]
+    family |= {i: i for i, _ in rows[160:]} | {2001: 2000}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(0))
+    assert dict(map(tuple, simhash.similar_groups(df).collect())) == family
+    left = simhash.keep_first(df)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == set(family.values())
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [10, 600_000, 300_000_000])
 def test_every_link_shares_a_shard(n):
     rng = random.Random(n)
