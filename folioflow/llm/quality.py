@@ -142,12 +142,17 @@ def judge(measured: DataFrame) -> DataFrame:
     spread = fences(sketches(measured)).groupBy("level", "lang", "source").agg(
         F.max("total").alias("total"), *(F.max(F.when(F.col("ratio") == r, F.col(side))).alias(f"{side}_{r}") for r in RATIOS for side in ("low", "high"))
     )
-    limits = F.struct("total", *(f"{side}_{r}" for r in RATIOS for side in ("low", "high")))
-    groups, langs, whole = (spread.where(F.col("level") == k).select("lang", "source", limits.alias(f"l{k}")) for k in range(3))
-    chosen = (
-        groups.join(langs.drop("source").withColumnRenamed("lang", "lang_1"), F.col("lang").eqNullSafe(F.col("lang_1")), "left").join(F.broadcast(whole.select("l2")), how="left")
-        .select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.when(F.col("l0.total") >= LEAST_GROUP, F.col("l0")).when(F.col("l1.total") >= LEAST_GROUP, F.col("l1")).otherwise(F.col("l2")).alias("limits"))
-    )
+    # A group's level is the finest with enough documents; level 2, the whole corpus, always is.
+    groups, langs = (spread.where(F.col("level") == k).select("lang", "source", F.col("total").alias(f"n{k}")) for k in range(2))
+    sized = groups.join(langs.select(F.col("lang").alias("of_lang"), "n1"), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+    level = F.when(F.col("n0") >= LEAST_GROUP, 0).when(F.col("n1") >= LEAST_GROUP, 1).otherwise(2)
+    asked = sized.withColumn("at", level).select(
+        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "at", F.when(F.col("at") < 2, F.col("lang")).alias("at_lang"), F.when(F.col("at") < 1, F.col("source")).alias("at_source")
+    )
+    limits = F.struct(*(f"{side}_{r}" for r in RATIOS for side in ("low", "high"))).alias("limits")
+    chosen = asked.join(
+        spread.select("level", "lang", "source", limits), (F.col("at") == F.col("level")) & F.col("at_lang").eqNullSafe(F.col("lang")) & F.col("at_source").eqNullSafe(F.col("source")), "left"
+    ).select("of_lang", "of_source", "limits")
     out = measured.join(chosen, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     odd = F.lit(False)
     for r in RATIOS:
