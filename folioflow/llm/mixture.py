@@ -88,14 +88,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     names = sorted(by_source, key=lambda s: (s is None, s or ""))
     sizes = [sum(w for w, _ in by_source[s].values()) for s in names]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
-    # Blocks small enough that the smallest source's share is met too.
-    block = max(1, min([sum(sizes) // MIX_BLOCKS, *(s // 1000 for s in sizes if s)]))
+    # Small sources' shards are merged until they hold enough documents; blocks are small against the
+    # mean shard of any source, so that rounding to blocks costs a source half a hundredth at most.
+    parts = [max(1, min(SHARDS, sum(d for _, d in by_source[name].values()) // SHARD_DOCS)) for name in names]
+    block = max(1, min([sum(sizes) // MIX_BLOCKS, *(s // (100 * n) for s, n in zip(sizes, parts) if s)]))
     seats = int(sum(goal)) // block
     quota = sainte_lague(goal, seats, [REPEATS * s // block for s in sizes])
     plan = []
-    for name, size, target, blocks in zip(names, sizes, goal, quota):
-        # Shards of a small source are merged until they hold enough documents.
-        n = max(1, min(SHARDS, sum(d for _, d in by_source[name].values()) // SHARD_DOCS))
+    for name, size, target, blocks, n in zip(names, sizes, goal, quota, parts):
         words = [0] * n
         for shard, (w, _) in by_source[name].items():
             words[shard % n] += w
@@ -109,15 +109,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     located = located.join(wanted, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")))
     order = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "row")
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    rounds, rest = F.expr("coalesce(try_divide(wanted - wanted % nullif(shard_words, 0), shard_words), 0)").cast("long"), F.expr("coalesce(wanted % nullif(shard_words, 0), 0)")
+    rounds, rest = F.expr("coalesce(wanted div nullif(shard_words, 0), 0)"), F.expr("coalesce(wanted % nullif(shard_words, 0), 0)")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return located.withColumn("taken", taken.cast("long")).select("doc_id", "source", "row", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: each document once for every whole time
-    that it is taken, and once more up to the word where the shard's last block ends."""
-    got = mix(docs, id_col, text_col, source_col).where("taken > 0").distinct()
+    that it is taken, and once more up to the word where the shard's last block ends. Equal rows share
+    what they take, in whole words."""
+    # Equal rows can't be told apart, so they share what they take together.
+    got = mix(docs, id_col, text_col, source_col).groupBy("doc_id", "source", "row", "size").agg(F.expr("sum(taken) div count(*)").alias("taken")).where("taken > 0")
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
     text = F.col(f"d.`{text_col}`")
     key = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("doc_id")) & F.col(f"d.`{source_col}`").cast("string").eqNullSafe(F.col("source")) & (F.xxhash64(text) == F.col("row"))

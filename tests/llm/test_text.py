@@ -138,6 +138,8 @@ def test_mix(docs):
     for r in out.collect():
         words[r.doc_id] += len(WORD.findall(r.text))
     assert words == {r.doc_id: r.taken for r in got if r.taken}
+    twice = mixture.mixed_documents(docs.unionAll(docs)).collect()
+    assert abs(sum(len(WORD.findall(r.text)) for r in twice) - 2 * sum(size.values())) < 2 * len(size)
     assert mixture.mix(docs.limit(0)).count() == 0 == mixture.mixed_documents(docs.limit(0)).count()
 
 
