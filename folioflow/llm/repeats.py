@@ -34,9 +34,9 @@ from folioflow.llm.runtime import ready, text_bytes
 from folioflow.llm.symbols import U64, Texts, anchors, mix
 
 #: Bytes of text in a chunk, about; a chunk is what one Python call holds.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Entries compared at once in round 4.
-COMPARED = 1 << 16
+COMPARED = 1 << 14
 
 _ROWS = "bucket long, chunk long, kind int, body binary"
 
@@ -51,15 +51,15 @@ class Sequence:
 
 @dataclass(frozen=True)
 class Repeats:
-    """window: symbols in a run. gram: symbols in a trigger. symbols: reads a chunk's symbols.
-    surround(seq, at, reach, window) gives an array of one row for each trigger, which
-    windows(rows, gram, window) turns into the hash of each run that holds the trigger."""
+    """window: symbols in a run. gram: symbols in a trigger. symbols(texts): a chunk's symbols.
+    surround(seq, texts, at, of, spec): one row of small integers for each trigger, at a place in a
+    text, which windows(rows, spec) turns into the hash of each run that holds the trigger (0: none)."""
 
     window: int
     gram: int
     symbols: Callable[[Texts], object]
-    surround: Callable[[object, np.ndarray, int, int], np.ndarray]
-    windows: Callable[[np.ndarray, int, int], np.ndarray]
+    surround: Callable[..., np.ndarray]
+    windows: Callable[[np.ndarray, Repeats], np.ndarray]
 
     @property
     def reach(self) -> int:
@@ -337,7 +337,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, spec: Repeats, pay
     """
     spark = ready(docs.sparkSession)
     chunks = max(1, -(-text_bytes(docs, text_col) // CHUNK_BYTES))
-    bits = max(0, (chunks - 1).bit_length() - 1)
+    bits = (chunks - 1).bit_length()
     dealt = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")
     ).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
