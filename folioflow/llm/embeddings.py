@@ -94,8 +94,8 @@ def _assign(centers: np.ndarray, threshold: float, margin: float | None, blocks:
                 r, cell, at_home = (np.repeat(v, each) for v in (row, cell, at_home))
                 nth = np.arange(len(r)) - np.repeat(np.cumsum(each) - each, each)
                 stands = (nth == point[a + r] % blocks[cell]) & at_home
-                vectors = pa.FixedSizeListArray.from_arrays(pa.array(x[a + r].ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.record_batch([pa.array(base[cell] + nth, pa.int64()), pa.array(point[a + r]), pa.array(size[a + r]), pa.array(stands), vectors], ["block", "point", "size", "stands", "unit"])
+                vectors = batch.column("embedding").take(pa.array(a + r))
+                yield pa.record_batch([pa.array(base[cell] + nth, pa.int64()), pa.array(point[a + r]), pa.array(size[a + r]), pa.array(stands), vectors], ["block", "point", "size", "stands", "embedding"])
 
     return assign
 
@@ -104,8 +104,7 @@ def _compare(threshold: float):
     def compare(key: Key, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("point")
         point, size, stands = (rows[c].to_numpy(zero_copy_only=False) for c in ("point", "size", "stands"))
-        column = rows["unit"].combine_chunks()
-        x = column.flatten().to_numpy().reshape(len(point), -1)
+        x, _ = unit_matrix(rows["embedding"])
         out = ([], [], [])
         base, weight = x[stands], size[stands]
         there = point[stands]
@@ -143,7 +142,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     empty table gives none.
     """
     spark = ready(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    # Vectors travel in the type they are stored in; products are in double precision.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     values = F.col("embedding")
     sound = values.isNotNull() & (F.size(values) > 0) & F.forall(values, lambda v: F.coalesce((v == v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(values, lambda v: v != 0)
     rows = rows.withColumn("print", F.when(sound, F.xxhash64("embedding")))
@@ -158,7 +159,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     centers = spherical_kmeans(x[good], min(CELLS, max(1, n // CELL_SIZE)))
     share = np.bincount((x[good] @ centers.T).argmax(axis=1), minlength=len(centers)) / good.sum()
     blocks = np.maximum(1, np.round(share * n / BLOCK)).astype(np.int64)
-    dealt = points.select("point", "size", "embedding").mapInArrow(_assign(centers, threshold, margin, blocks), "block long, point long, size long, stands boolean, unit array<double>")
+    dealt = points.select("point", "size", "embedding").mapInArrow(_assign(centers, threshold, margin, blocks), f"block long, point long, size long, stands boolean, embedding {kind}")
     found = cut(dealt.groupBy("block").applyInArrow(_compare(threshold), "point long, links long, others array<long>"))
     degree = found.groupBy("point").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("point").alias("src"), F.explode("others").alias("dst")).distinct())
