@@ -119,24 +119,24 @@ def _shard(fp: Column, choice: int, blocks: list[tuple[int, int]]) -> Column:
     return F.struct(F.lit(choice).alias("choice"), F.xxhash64(F.lit(choice), *values).alias("key"))
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits; fingerprints are single 64-bit words or rows of several."""
+def distance(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
+    """Differing bits of fingerprints of one 64-bit word, or of several along the last axis."""
     d = np.bitwise_count(a ^ b)
-    return d if d.ndim < 2 else d.sum(axis=-1, dtype=np.int16)
+    return d.sum(axis=-1, dtype=np.int16) if wide else d
 
 
 class BKTree:
     """BK-tree over an array of fingerprints; answers range queries for many fingerprints at once."""
 
     def __init__(self, items: np.ndarray) -> None:
-        self.items = items
+        self.items, self.wide = items, items.ndim > 1
         self.root = self._build(np.arange(len(items)))
 
     def _build(self, at: np.ndarray):
         if len(at) <= LEAF:
             return at
         pivot, rest = at[0], at[1:]
-        d = distance(self.items[rest], self.items[pivot])
+        d = distance(self.items[rest], self.items[pivot], self.wide)
         return pivot, [(int(x), self._build(rest[d == x])) for x in np.unique(d)]
 
     def links(self, radius: int):
@@ -146,12 +146,17 @@ class BKTree:
             node, asked = stack.pop()
             if isinstance(node, tuple):
                 pivot, children = node
-                d = distance(self.items[asked], self.items[pivot]).astype(np.int16)
+                d = distance(self.items[asked], self.items[pivot], self.wide).astype(np.int16)
                 yield pivot, asked[d <= radius]
                 stack += [(child, q) for x, child in children if len(q := asked[np.abs(d - x) <= radius])]
+            elif len(node) * len(asked) <= 1 << 18:
+                near = distance(self.items[node][:, None], self.items[asked][None], self.wide) <= radius
+                # A tree that is one leaf is asked about by its own items, each of which meets itself.
+                for i in np.flatnonzero(near.sum(axis=1) > (node is self.root)).tolist():
+                    yield node[i], asked[near[i]]
             else:
                 for pivot in node:
-                    yield pivot, asked[distance(self.items[asked], self.items[pivot]) <= radius]
+                    yield pivot, asked[distance(self.items[asked], self.items[pivot], self.wide) <= radius]
 
 
 def spanning(items: np.ndarray, radius: int) -> list[tuple[int, int]]:
