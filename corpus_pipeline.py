@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, round_trip, token_ids of each row."""
-    return pieces.encode(docs)
+    return pieces.encode(docs, memo=1 << 19)
 
 
 STAGES = [
