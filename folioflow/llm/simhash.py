@@ -27,10 +27,14 @@ from folioflow.llm.symbols import U64, Texts, Words, mix
 SHARD_SIZE = 64
 #: Fingerprints under a BK-tree node that are compared one by one.
 LEAF = 48
+#: Jaccard similarity of the five-word shingle sets of a link in ``similar_groups``, as a fraction.
+SIMILAR = 4, 5
 #: Words of a wide fingerprint; the share of differing bits of texts at the similarity limit (a Jaccard
-#: similarity of 0.8 is a cosine of 8 / 9, an angle of 0.152 pi); and the differing bits of a link, nearly
-#: two standard deviations above that share.
-WIDE, LIMIT_ANGLE, WIDE_RADIUS = 4, 0.152, 49
+#: similarity of 0.8 is a cosine of 8 / 9, an angle of 0.152 pi); and the differing bits of a candidate,
+#: four standard deviations above that share.
+WIDE, LIMIT_ANGLE, WIDE_RADIUS = 4, 0.152, 62
+#: Fingerprints of a shard that are compared all with all at once, at most.
+MATRIX = 1024
 #: Shard rows that one Python call holds, about.
 CALL_ROWS = 100_000
 
@@ -76,23 +80,35 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
+def _shingled(column: pa.Array, sizes: list[int], seed: int):
+    """For each text of a column: the shingle hashes of each size, in the order of the words."""
+    texts = Texts.of(column)
+    texts = Texts(_LOWER[texts.data], texts.start, texts.end)
+    for i, j in texts.blocks(1 << 20):
+        lo, hi = texts.start[i], texts.end[j - 1]
+        part = Texts(texts.data[lo:hi], texts.start[i:j] - lo, texts.end[i:j] - lo)
+        words = Words.of(part)
+        view, place = joined_words(part, words)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            yield [shingle_hashes(view, place[a : b + 1], size, seed) for size in sizes]
+
+
 def _fingerprints(sizes: list[tuple[int, int]], seed: int):
     def run(batches):
         for batch in batches:
-            texts, out = Texts.of(batch.column(1)), [[] for _ in sizes]
-            texts = Texts(_LOWER[texts.data], texts.start, texts.end)
-            for i, j in texts.blocks(1 << 20):
-                lo, hi = texts.start[i], texts.end[j - 1]
-                part = Texts(texts.data[lo:hi], texts.start[i:j] - lo, texts.end[i:j] - lo)
-                words = Words.of(part)
-                view, place = joined_words(part, words)
-                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-                    for (size, width), into in zip(sizes, out):
-                        h = shingle_hashes(view, place[a : b + 1], size, seed)
-                        into.append(fingerprint(h if width == 1 else np.unique(h), width))
+            out, nodes = [[] for _ in sizes], []
+            for hashes in _shingled(batch.column(1), [size for size, _ in sizes], seed):
+                for (_, width), into, h in zip(sizes, out, hashes):
+                    if width > 1:
+                        h = np.unique(h)
+                        nodes.append(xxhash.xxh64_intdigest(h.tobytes(), seed))
+                    into.append(fingerprint(h, width))
             columns = [pa.array([int(x[0]) for x in out[0]], pa.int64())]
             columns += [pa.array([x.tolist() for x in more], pa.list_(pa.int64())) for more in out[1:]]
-            yield pa.record_batch([batch.column(0), *columns], ["doc_id", "fp", "wide"][: 1 + len(sizes)])
+            columns += [pa.array(np.array(nodes, U64).view(np.int64))] * (len(sizes) - 1)
+            carried = list(range(2, batch.num_columns))
+            names = ["doc_id", "fp", "wide", "node"][: 2 * len(sizes)]
+            yield pa.record_batch([batch.column(0), *columns, *(batch.column(k) for k in carried)], names + [batch.schema.names[k] for k in carried])
 
     return run
 
@@ -211,11 +227,11 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
 def bit_choices(n: int) -> np.ndarray:
     """Which bits of a wide fingerprint make up each key: rows of ascending bit numbers.
 
-    Keys have about log2(n) - 4 bits, so that unrelated fingerprints seldom share one, and there are
-    so many that texts at the similarity limit share one with probability 0.99."""
-    bits = int(np.clip(np.log2(max(2, n)) - 4, 12, 24))
+    Keys have about log2(n) - 8 bits, so that a few hundred unrelated fingerprints share one, and there
+    are so many that texts at the similarity limit share nine on average."""
+    bits = int(np.clip(np.log2(max(2, n)) - 8, 4, 24))
     rng = np.random.default_rng(5)
-    return np.array([np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(int(np.ceil(4.6 / (1 - LIMIT_ANGLE) ** bits)))])
+    return np.array([np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(int(np.ceil(9 / (1 - LIMIT_ANGLE) ** bits)))])
 
 
 def _wide_keys(choices: np.ndarray):
@@ -233,6 +249,36 @@ def _wide_keys(choices: np.ndarray):
     return run
 
 
+def wide_spanning(items: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """``spanning`` for wide fingerprints, which are too far apart for a tree to rule out any."""
+    words, n = np.ascontiguousarray(items.T), len(items)
+    group, out = np.arange(n), []
+
+    def join(i: int, others: np.ndarray) -> None:
+        others = others[group[others] != group[i]]
+        if len(others):
+            joined, first = np.unique(group[others], return_index=True)
+            out.extend((i, int(x)) for x in others[first])
+            group[np.isin(group, joined)] = group[i]
+
+    if n <= MATRIX:
+        far = np.zeros((n, n), np.uint16)
+        for w in words:
+            far += np.bitwise_count(w[:, None] ^ w[None])
+        a, b = np.nonzero(np.triu(far <= radius, 1))
+        for i, s in zip(*np.unique(a, return_index=True)):
+            join(int(i), b[s : np.searchsorted(a, i, "right")])
+        return out
+    for i in range(n - 1):
+        # What is in a fingerprint's group already isn't asked about again.
+        rest = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        far = np.zeros(len(rest), np.uint16)
+        for w in words:
+            far += np.bitwise_count(w[rest] ^ w[i])
+        join(i, rest[far <= radius])
+    return out
+
+
 def _wide_link(radius: int):
     def link(key: Key, rows: pa.Table) -> pa.Table:
         shard, node = rows["shard"].to_numpy(), rows["node"].to_numpy()
@@ -243,7 +289,7 @@ def _wide_link(radius: int):
         src, dst = [], []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if e - s > 1:
-                for x, y in spanning(wide[s:e], radius):
+                for x, y in wide_spanning(wide[s:e], radius):
                     src.append(int(node[s + x]))
                     dst.append(int(node[s + y]))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
@@ -251,29 +297,91 @@ def _wide_link(radius: int):
     return link
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, wide_radius: int | None = None) -> DataFrame:
-    """(doc_id, component_id) by two kinds of links: those of ``near_groups``, and those between texts
-    whose five-word shingles are similar by 0.8 or more.
+def _sets(seed: int):
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            nodes, rows, sets = batch.column(1).to_pylist(), [], []
+            for k, (h,) in enumerate(_shingled(batch.column(2), [5], seed)):
+                if nodes[k] not in seen:
+                    seen.add(nodes[k])
+                    rows.append(k)
+                    sets.append(np.unique(h))
+            offsets = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate([np.empty(0, U64), *sets]).view(np.int64)
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.LargeListArray.from_arrays(offsets, flat).cast(pa.list_(pa.int64()))], ["component", "node", "shingles"])
+
+    return run
+
 
-    That similarity is of sets, so shingles count once. At its limit 64 bits are too few to tell a link from chance, so these links are between
-    256-bit fingerprints that differ in at most ``wide_radius`` bits. Their BK-trees are in shards by
-    several choices of bits each; a pair at exactly 0.8 is found in 19 of 20 cases, one at 0.9 and
-    more practically always, and unrelated texts are ten standard deviations away.
+def similar_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """The group of each set of distinct values: the place of its first member. Links are the pairs whose
+    Jaccard similarity is SIMILAR or more; each is decided by the sets, all with all."""
+    up, down = SIMILAR
+    size, n = np.array([len(x) for x in sets], np.int64), len(sets)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(code, np.cumsum(size)[:-1])
+    group, here = np.full(n, -1), np.zeros(int(code.max(initial=-1)) + 1, bool)
+    # What has no group yet, and its values side by side; both shrink as groups take members.
+    left, flat = np.arange(n), code
+    for first in range(n):
+        if group[first] >= 0:
+            continue
+        group[first], queue = first, [first]
+        while queue:
+            i = queue.pop()
+            free = group[left] < 0
+            if 2 * free.sum() < len(left):
+                left = left[free]
+                flat, free = np.concatenate([code[:0], *(own[k] for k in left.tolist())]), np.ones(len(left), bool)
+            here[own[i]] = True
+            total = np.concatenate([[0], np.cumsum(here[flat])])
+            here[own[i]] = False
+            end = np.cumsum(size[left])
+            both = total[end] - total[end - size[left]]
+            near = left[free & (both * down >= (size[left] + size[i] - both) * up)]
+            group[near] = first
+            queue += near.tolist()
+    return group
+
+
+def _verify(key: Key, rows: pa.Table) -> pa.Table:
+    node, first = np.unique(rows["node"].to_numpy(), return_index=True)
+    column = rows["shingles"].combine_chunks()
+    group = similar_sets([column[k].values.to_numpy(zero_copy_only=False) for k in first.tolist()])
+    return pa.table({"node": node, "similar": node[group]})
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, wide_radius: int | None = None) -> DataFrame:
+    """(doc_id, component_id) by links between texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more. Every link is decided by the two sets themselves.
+
+    Which texts are held against each other follows from candidates of two kinds: those of ``near_groups``,
+    and pairs of 256-bit fingerprints of the sets (at the limit 64 bits are too few to tell a pair from
+    chance) that differ in at most ``wide_radius`` bits and share a shard, one for each of several choices
+    of bits. A pair at exactly 0.8 differs in 39 bits, with a standard deviation of 6, and shares nine
+    shards on average. Texts that candidates connect meet in one call with their whole sets, and all of
+    them are compared there. Texts with one set of shingles are one node.
     """
     ready(docs.sparkSession)
     wide_radius = WIDE_RADIUS if wide_radius is None else wide_radius
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = cut(asked.mapInArrow(_fingerprints([(4, 1), (5, WIDE)], 42), "doc_id long, fp long, wide array<long>").withColumn("node", F.xxhash64("wide")))
-    distinct = cut(prints.groupBy("node").agg(F.first("wide").alias("wide"), F.min("fp").alias("fp")))
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
+    prints = cut(asked.mapInArrow(_fingerprints([(4, 1), (5, WIDE)], 42), "doc_id long, fp long, wide array<long>, node long, row long"))
+    distinct = cut(prints.groupBy("node").agg(F.first("wide").alias("wide"), F.min("row").alias("row")))
     n = distinct.count()
     choices = bit_choices(n)
     keyed = distinct.select("node", "wide").mapInArrow(_wide_keys(choices), "shard long, node long, wide array<long>")
     wide_links = keyed.groupBy(F.pmod(F.xxhash64("shard"), F.lit(max(1, n * len(choices) // CALL_ROWS))).alias("call")).applyInArrow(_wide_link(wide_radius), "src long, dst long")
-    # A fingerprint of 64 bits stands beside the wide ones that its texts have.
+    # A fingerprint of 64 bits stands beside the nodes that its texts have.
     narrow = cut(prints.select("fp").distinct())
     pairs = prints.select(F.col("fp").alias("src"), F.col("node").alias("dst")).distinct()
     found = components(wide_links.unionAll(near_links(narrow, narrow.count(), radius)).unionAll(pairs))
-    labelled = prints.select("doc_id", "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = cut(distinct.select("node", "row").join(found.withColumnRenamed("id", "node"), "node"))
+    several = joined.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    texts = asked.select("row", "text").join(joined.join(several, "component"), "row").select("component", "node", "text")
+    verified = texts.mapInArrow(_sets(42), "component long, node long, shingles array<long>").groupBy("component").applyInArrow(_verify, "node long, similar long")
+    labelled = prints.select("doc_id", "node").join(cut(verified), "node", "left").withColumn("component", F.coalesce("similar", "node"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "component").select("doc_id", "component_id")
 

@@ -151,6 +151,37 @@ def test_similar_groups(spark):
     assert simhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_similar_groups_link_at_the_limit_and_never_below(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    rows, family = [], {}
+    for g in range(300):
+        # 160 shingles of 200 are shared, or 159 of 199.
+        both = words(164 - g % 2)
+        for k in range(2):
+            rows.append((10 * g + k, " ".join(both + words(20))))
+            family[10 * g + k] = 10 * g + k * (g % 2)
+    got = dict(map(tuple, simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == family
+
+
+def test_similar_sets_by_brute_force():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, (20, 60), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k % 20][: 60 - k % 7], rng.integers(0, 1 << 60, k % 9, dtype=np.uint64)])) for k in range(300)]
+    links = [(i, j) for i in range(300) for j in range(i) if 5 * len(both := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(both))]
+    assert simhash.similar_sets(sets).tolist() == roots(300, links)
+
+
+@pytest.mark.parametrize("size", [50, 1500])
+def test_wide_spanning_connects_what_all_pairs_do(size):
+    rng = np.random.default_rng(size)
+    items = rng.integers(0, 1 << 63, (size, 4), dtype=np.uint64)
+    items[size // 2 :, 1:] = items[0, 1:]
+    near = np.bitwise_count(items[:, None] ^ items[None]).sum(axis=2) <= 30
+    assert roots(size, simhash.wide_spanning(items, 30)) == roots(size, np.argwhere(near).tolist())
+
+
 @pytest.mark.parametrize("n", [10, 600_000, 300_000_000])
 def test_every_link_shares_a_shard(n):
     rng = random.Random(n)
