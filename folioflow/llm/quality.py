@@ -117,7 +117,7 @@ def _ratio(name: str) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, level, ratio, bucket, n): one mergeable histogram for each group and ratio, for
     each language (level 1) and for all (level 2)."""
-    long = measured.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.least(_ratio(r), F.lit(BUCKETS)).alias("bucket")) for r in RATIOS))).alias("x"))
+    long = measured.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.when(_ratio(r).isNotNull(), F.least(_ratio(r), F.lit(BUCKETS))).alias("bucket")) for r in RATIOS))).alias("x"))
     base = long.select("lang", "source", "x.ratio", "x.bucket").where("bucket is not null").groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
     levels = [base.withColumn("level", F.lit(0)), base.withColumn("source", F.lit(None).cast("string")).withColumn("level", F.lit(1)), base.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}).withColumn("level", F.lit(2))]
     every = levels[0].unionByName(levels[1]).unionByName(levels[2])

@@ -6,11 +6,12 @@ import random
 import re
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import langid, mixture, pieces, quality, tokencounts
+from folioflow.llm import langid, mixture, oracles, pieces, quality, tokencounts
 from folioflow.llm.tokenfiles import token_file
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +110,24 @@ def test_fences_by_hand(spark):
     assert (r.total, r.low, r.high) == (100, None, 350)
 
 
+def against_sql(rows):
+    docs = rows.toArrow()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = sorted(con.execute(oracles.ORACLES["op9_quality_rules"]).fetchall())
+    got = sorted(map(tuple, quality.quality(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()))
+    assert got == want
+    return {r[0]: r[-1] for r in got}
+
+
+def test_texts_without_words_stay_out_of_the_fences(spark):
+    rng = random.Random(9)
+    text = lambda size: " ".join("".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(60))
+    rows = [(i, text(5), "en", "hot") for i in range(200)] + [(i, (None, "", " \n")[i % 3], "en", "hot") for i in range(200, 300)] + [(300 + i, text(40), "en", "hot") for i in range(5)]
+    kept = against_sql(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert [i for i in kept if kept[i]] == list(range(200))
+
+
 def test_apportionment():
     assert mixture.targets([100, 100, 100], [5, 2, 1]) == [Fraction(1500, 8), 75, Fraction(75, 2)]
     assert mixture.targets([10, 100, 0, 190], [5, 2, 1, 5]) == [30, Fraction(270 * 2, 7), 0, Fraction(270 * 5, 7)]
