@@ -1,8 +1,8 @@
 """Quality rules whose thresholds follow the corpus.
 
 Per document a few counts are taken; their ratios go into quantile sketches per language and
-source. A sketch is a histogram over at most 1,001 integer buckets, so sketches merge by adding
-counts, in any order, to the same result. Groups with few documents use the merged sketch of their
+source. A sketch is a histogram over integer buckets, without a bound as fences and documents must be
+on one scale, so sketches merge by adding counts, in any order, to the same result. Groups with few documents use the merged sketch of their
 language, or of the whole corpus. A document is rejected where a ratio lies beyond a fence drawn
 from its group's quartiles; thresholds are joined to the documents by group.
 """
@@ -31,6 +31,7 @@ RATIOS = {
     "repeats": ("n_repeat_words", 1000, "n_words", 300, False),
     "stutters": ("n_stutters", 1000, "n_words", 150, False),
 }
+#: The top bucket of the SQL, which clips there; ratios of at most 1000 have the same buckets in both.
 BUCKETS = 1000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters"]
 
@@ -117,7 +118,7 @@ def _ratio(name: str) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, level, ratio, bucket, n): one mergeable histogram for each group and ratio, for
     each language (level 1) and for all (level 2)."""
-    long = measured.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.when(_ratio(r).isNotNull(), F.least(_ratio(r), F.lit(BUCKETS))).alias("bucket")) for r in RATIOS))).alias("x"))
+    long = measured.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), _ratio(r).alias("bucket")) for r in RATIOS))).alias("x"))
     base = long.select("lang", "source", "x.ratio", "x.bucket").where("bucket is not null").groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
     levels = [base.withColumn("level", F.lit(0)), base.withColumn("source", F.lit(None).cast("string")).withColumn("level", F.lit(1)), base.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}).withColumn("level", F.lit(2))]
     every = levels[0].unionByName(levels[1]).unionByName(levels[2])

@@ -125,7 +125,15 @@ def test_texts_without_words_stay_out_of_the_fences(spark):
     text = lambda size: " ".join("".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(60))
     rows = [(i, text(5), "en", "hot") for i in range(200)] + [(i, (None, "", " \n")[i % 3], "en", "hot") for i in range(200, 300)] + [(300 + i, text(40), "en", "hot") for i in range(5)]
     kept = against_sql(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
-    assert [i for i in kept if kept[i]] == list(range(200))
+    assert sorted(i for i in kept if kept[i]) == list(range(200))
+
+
+def test_long_words_are_judged_on_the_scale_of_their_fences(spark):
+    rng = random.Random(10)
+    text = lambda size: " ".join("".join(rng.choice("abcdefgh") for _ in range(size + rng.randrange(20))) for _ in range(30))
+    rows = [(i, text(110 + i % 40), "zh", "books") for i in range(200)] + [(200 + i, text(900), "zh", "books") for i in range(5)]
+    kept = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sorted(i for i in kept if kept[i]) == list(range(200))
 
 
 def test_apportionment():
