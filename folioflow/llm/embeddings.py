@@ -4,9 +4,8 @@ Vectors that are equal component by component are one point with a count, so a v
 of all rows share is one point. Centroids are fitted on a bounded sample; every point is then
 assigned. A point is compared within its own cell and within each other cell whose border it is
 near: for a partner at the threshold on the far side of the border the two dot products differ by
-at most sin(angle) * |c1 - c2| (exact bound). In d dimensions a difference of that size needs the
-partner to lie exactly along c1 - c2; its standard deviation is that bound over sqrt(d), and
-``margin`` such deviations are followed (``margin=None``: the exact bound, which finds every link).
+at most sin(angle) * |c1 - c2|. That bound is exact and finds every link. A ``margin`` follows only
+so many standard deviations of vectors that spread alike in all dimensions, and loses links of others.
 Inside a cell, points are dealt into blocks (more for a fuller cell) and blocks are compared with double-precision matrix
 products, whose matches turn into counts and spanning links at once; pairs aren't listed.
 """
@@ -132,7 +131,7 @@ def _compare(threshold: float):
     return compare
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float | None = 3.0) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors with cosine >= ``threshold`` are linked. Null and zero vectors, and those with null or

@@ -230,3 +230,17 @@ def test_vector_recall_with_the_default_margin(spark):
     true = (x @ x.T >= 0.9).sum(axis=1) - 1
     assert all(got[r.vec_id] <= t for r, t in zip(rows, true))
     assert sum(got.values()) >= 0.99 * true.sum()
+
+
+def test_vectors_of_few_effective_dimensions_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_SIZE", 100)
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(2000, 8)) @ rng.normal(size=(8, 256))).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = roots(len(x), np.argwhere(near).tolist())
+    got = sorted(map(tuple, embeddings.near_duplicate_vectors(df).collect()))
+    found, links = sum(r[1] for r in got), int(near.sum())
+    assert got == [(i, int(near[i].sum()), root[i], root[i] == i) for i in range(len(x))], f"{found} of {links} links"
