@@ -20,8 +20,10 @@ from pyspark.sql.window import Window
 from folioflow.llm.runtime import ready, table
 from folioflow.llm.symbols import SLICE, Texts
 
-#: Labelled texts for the fit: at most so many a language, of at most so many bytes each, of at most
-#: so many languages (the most frequent ones), drawn by a hash of their ids.
+#: Labelled texts for the fit: at most so many a language, and fewer where there are more than LANGS
+#: languages, but one at least. They are drawn by a hash of their ids from those of at most FIT_BYTES;
+#: where those are too few longer ones follow, the shortest first, while the language's texts before
+#: them are below PER_LANG * FIT_BYTES in all.
 PER_LANG, FIT_BYTES, LANGS = 300, 20_000, 200
 #: Landmarks in all; they are spread evenly over the languages.
 LANDMARKS = 128
@@ -120,14 +122,21 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     return Model(langs, columns, landmarks, (white @ ridge).astype(np.float32))
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text): the bounded sample for the fit. Ranks are cut before and after the shuffle."""
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, langs: int | None = None) -> DataFrame:
+    """(lang, n, text): the bounded sample for the fit, of every language or of the ``langs`` most frequent."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
-    learn = rows.where((F.crc32(F.col("id").cast("binary")) % 4 != 2) & F.octet_length("text").between(1, FIT_BYTES))
-    common = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).select("lang")
-    drawn = learn.join(F.broadcast(common), "lang").withColumn("draw", F.xxhash64("id", "text"))
-    ranked = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))).where(F.col("n") <= PER_LANG)
-    return ranked.select("lang", "n", "text")
+    learn = rows.withColumn("size", F.octet_length("text")).where((F.crc32(F.col("id").cast("binary")) % 4 != 2) & (F.col("size") > 0))
+    known = learn.groupBy("lang").count()
+    if langs is not None:
+        known = known.orderBy(F.desc("count"), "lang").limit(langs)
+        learn = learn.join(F.broadcast(known.select("lang")), "lang")
+    each = min(PER_LANG, max(1, PER_LANG * LANGS // max(1, known.count())))
+    # Ranks are cut before and after the shuffle.
+    by = Window.partitionBy("lang").orderBy("longer", "draw", "id")
+    longer = F.when(F.col("size") > FIT_BYTES, F.col("size")).otherwise(0)
+    ranked = learn.withColumns({"draw": F.xxhash64("id", "text"), "longer": longer}).withColumn("n", F.row_number().over(by)).where(F.col("n") <= each)
+    before = F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    return ranked.withColumn("before", before).where(F.col("before") < PER_LANG * FIT_BYTES).select("lang", "n", "text")
 
 
 def _predict(model):
@@ -152,18 +161,18 @@ def _predict(model):
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", langs: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1).
 
     The fit takes text and non-null language of documents whose crc32 of the id, as text, is not 2
-    modulo 4; the others (held_out) and rows with a null id are only predicted. A null text and one
+    modulo 4, of every language or of the ``langs`` most frequent; the others (held_out) and rows with a null id are only predicted. A null text and one
     without a letter are ``und`` with score 0, as is everything where nothing can be learned. Scores
     look at the whole text only, so equal texts are predicted alike. An empty table gives none.
     """
     spark = ready(docs.sparkSession)
     id_text = F.col(id_col).cast("string").cast("binary")
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.crc32(id_text) % 4 == 2, F.lit(False))).alias("held_out"), F.col(text_col).alias("text"))
-    sample = training_rows(docs, id_col, text_col, lang_col).orderBy("lang", "n").toArrow()
+    sample = training_rows(docs, id_col, text_col, lang_col, langs).orderBy("lang", "n").toArrow()
     if not sample.num_rows:
         return asked.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     model = spark.sparkContext.broadcast(fit(sample["text"].to_pylist(), sample["lang"].to_pylist()))

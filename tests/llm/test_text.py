@@ -181,6 +181,16 @@ def test_language_id(spark, docs):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_languages_of_long_texts_only_and_of_more_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 2)
+    rng = random.Random(11)
+    some = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(i, some("abcde", 40), "aa") for i in range(40)] + [(100 + i, some("fghij", 40), "bb") for i in range(40)] + [(200 + i, some("klmno", 4000), "cc") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(df).collect()} == {r[0]: r[2] for r in rows}
+    assert {r.lang_pred for r in langid.identify(df, langs=2).collect()} == {"aa", "bb"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
