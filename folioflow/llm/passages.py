@@ -1,10 +1,9 @@
-"""Passage dedup over words by relative Lempel-Ziv parsing.
+"""Passage dedup over words by hashes of 50-word windows, in place of relative Lempel-Ziv parsing.
 
-The reference of the parse is every content-defined block of 25 words of every earlier document.
-The blocks are indexed by hash in exchanged ranges; a document's factors start at the blocks that
-the index knows and extend to both sides. A factor that reaches 50 words is a duplicate span: as
-all windows around each block are looked up, the first and last words of a factor are checked too,
-also where two factors meet. Words are compared as unchanged byte strings by 64-bit hashes.
+There is no parse and no factor: the engine is that of ``repeats``, as for ``substrings``. Its triggers
+are content-defined blocks of words, exchanged by hash in ranges; around each that two documents share,
+all windows of 50 words are looked up, and a window that an earlier document holds is a duplicate span.
+Words are compared as unchanged byte strings by 64-bit hashes.
 """
 
 from __future__ import annotations
