@@ -1,13 +1,10 @@
-"""Exact substring dedup over UTF-8 bytes by prefix-free parsing.
-
-Rolling-hash triggers cut each document into phrases; a phrase and its neighbours are known by the
-triggers between them. Distinct triggers form the dictionary's edges, which chunks exchange in
-sorted order (round 1), so only phrases of a repetitive part of the corpus stay in play. For these
-the bytes on both sides of a trigger (the end of one phrase and the start of the next) are brought
-into corpus order together with all others of that trigger, and equal neighbours of 50 bytes are
-repeats. Two departures from the textbook, both for 50-byte matches on a cluster: a trigger is a
-minimum over the window rather than a hash divisible by a constant, so no 50 bytes are without
-one; and the order is built per range of triggers, never for the corpus in one place.
+"""Exact substring dedup over UTF-8 bytes by hashes of 50-byte windows, in place of prefix-free parsing.
+
+There are no phrases, no dictionary or parse and no suffix array: the engine is that of ``repeats``.
+A trigger is a minimum of rolling hashes over a window, so no 50 bytes are without one. Chunks exchange
+their triggers in ranges (round 1), so only those that two documents share stay in play. For these the
+hashes of the windows of 50 bytes around a trigger are compared with all others of that trigger, and
+equal ones are repeats. Nothing is put into one order for the corpus.
 """
 
 from __future__ import annotations
