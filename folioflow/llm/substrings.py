@@ -1,10 +1,16 @@
-"""Exact substring dedup over UTF-8 bytes by hashes of 50-byte windows, in place of prefix-free parsing.
-
-There are no phrases, no dictionary or parse and no suffix array: the engine is that of ``repeats``.
-A trigger is a minimum of rolling hashes over a window, so no 50 bytes are without one. Chunks exchange
-their triggers in ranges (round 1), so only those that two documents share stay in play. For these the
-hashes of the windows of 50 bytes around a trigger are compared with all others of that trigger, and
-equal ones are repeats. Nothing is put into one order for the corpus.
+"""Exact substring dedup over UTF-8 bytes by prefix-free parsing.
+
+Rolling-hash triggers (``repeats``) cut every text into phrases, each from one trigger to the end of the
+next. As a trigger is known by its own bytes, no proper phrase suffix that is longer than a trigger is a
+prefix of another (the phrases are prefix-free), so suffixes of the corpus compare by their phrase suffix
+first and then by what follows in the parse. The dictionary holds the distinct phrases that end in a
+trigger which two documents share, the parse what follows each of them. Both are dealt into ranges by the
+trigger that ends the phrase, as all suffixes that share 50 bytes do also share their first trigger.
+
+In a range, the suffix array of the dictionary (phrases by their ends, so that the phrase suffixes of each
+length are neighbours) and that of the parse (what follows, as deep as 50 bytes reach) are sorted with
+their common prefixes. The two combine into corpus order: by phrase suffix, then by rank in the parse.
+Repeats are the neighbours in that order that have 50 bytes in common.
 """
 
 from __future__ import annotations
@@ -16,42 +22,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.repeats import Repeats, Sequence, find_repeats
+from folioflow.llm.repeats import Repeats, Shape, expand, find_repeats, squeeze
 from folioflow.llm.runtime import table
-from folioflow.llm.symbols import BYTE_CODE, U64, Texts, gram_hash, mix
-
-GRAM = 20
-
-
-def _symbols(texts: Texts) -> Sequence:
-    return Sequence(BYTE_CODE[texts.data], np.append(texts.start, len(texts.data)))
+from folioflow.llm.symbols import RADIX, U64, Texts, mix
+
+#: Bytes of the grams that decide on triggers.
+SMALL = 8
+
+
+class Bytes:
+    """The bytes of a chunk's texts, read as 64-bit words from any place on."""
+
+    def __init__(self, texts: Texts, shape: Shape) -> None:
+        self.shape, self.first = shape, np.append(texts.start, len(texts.data))
+        self.data = np.concatenate([texts.data, np.zeros(8, np.uint8)])
+        self.words = np.ndarray(len(texts.data) + 1, "<u8", self.data, strides=(1,))
+
+    def order(self, lo: int, hi: int) -> np.ndarray:
+        s = self.shape.small
+        return (mix((self.words[lo : hi - s + 1] << U64(64 - 8 * s)) * RADIX) >> U64(32)).astype(np.uint32)
+
+    def trigger(self, at: np.ndarray) -> np.ndarray:
+        gram, h = self.shape.gram, np.zeros(len(at), U64)
+        for j in range(0, gram, 8):
+            n = min(8, gram - j)
+            h = mix((h ^ (self.words[at + j] << U64(64 - 8 * n))) * RADIX + U64(j + 1))
+        return h
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        return self.data[np.clip(at, 0, len(self.data) - 1)]
+
+
+def _sorted(owner: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by owner and symbols, and what each has in common with the one before it in
+    that order (-1: another owner)."""
+    n, wide = symbols.shape
+    padded = np.zeros((n, -(-wide // 8) * 8), np.uint8)
+    padded[:, :wide] = symbols
+    words = padded.view(">u8").astype(U64)
+    order = np.lexsort((*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), owner))
+    there, own = symbols[order], owner[order]
+    differs = np.concatenate([there[1:] != there[:-1], np.ones((max(0, n - 1), 1), bool)], axis=1)
+    common = np.full(n, -1, np.int64)
+    common[1:] = np.where(own[1:] == own[:-1], differs.argmax(axis=1), -1)
+    return order, common
+
+
+def corpus_order(key: np.ndarray, ids: np.ndarray, rows: np.ndarray, shape: Shape) -> np.ndarray:
+    """Bit l of each row: the 50 bytes from l bytes before its trigger are held by an earlier document."""
+    n = len(key)
+    owner = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    least, most = rows[:, 0], rows[:, 1]
+    after, follows = _sorted(owner, rows[:, 2 + shape.most : 2 + shape.most + shape.reach])
+    phrases, ends = _sorted(owner, rows[:, 2 : 2 + shape.most])
+    rank, out = np.empty(n, np.int64), np.zeros(n, U64)
+    rank[after] = np.arange(n)
+    for l in range(shape.most + 1):
+        # Rows with a phrase suffix of l bytes before the trigger, the suffix's number, and which of the
+        # parse's suffixes agree as far as 50 bytes reach.
+        here = np.flatnonzero((least <= l) & (l <= most))
+        if len(here) < 2:
+            continue
+        suffix, agree = np.empty(n, np.int64), np.empty(n, np.int64)
+        suffix[phrases] = np.cumsum(ends < l)
+        agree[after] = np.cumsum(follows < shape.reach - l)
+        place = here[np.argsort(suffix[here] * n + rank[here])]
+        new = np.concatenate([[True], (suffix[place][1:] != suffix[place][:-1]) | (agree[place][1:] != agree[place][:-1])])
+        first = np.minimum.reduceat(ids[place], np.flatnonzero(new))[np.cumsum(new) - 1]
+        out[place[first < ids[place]]] |= U64(1) << U64(l)
+    return out
 
 
-def _surround(seq: Sequence, texts: Texts, at: np.ndarray, of: np.ndarray, spec: Repeats) -> np.ndarray:
-    """The bytes within reach on both sides of a trigger, then how many of either side are the text's."""
-    reach = spec.reach
-    out = np.zeros((len(at), spec.gram + 2 * reach + 2), np.uint8)
-    left = np.minimum(at - seq.first[of], reach)
-    right = np.minimum(seq.first[of + 1] - at - spec.gram, reach)
-    place = np.arange(-reach, spec.gram + reach)
-    for a in range(0, len(at), 1 << 14):
-        s = slice(a, a + (1 << 14))
-        inside = (place >= -left[s, None]) & (place < spec.gram + right[s, None])
-        out[s, :-2] = texts.data[np.clip(at[s, None] + place, 0, len(texts.data) - 1)] * inside
-    out[:, -2], out[:, -1] = left, right
-    return out
+def _pack(rows: np.ndarray) -> bytes:
+    return squeeze(np.ascontiguousarray(rows.T))
 
 
-def _windows(rows: np.ndarray, spec: Repeats) -> np.ndarray:
-    """Hash of each run that holds the trigger; 0 where the run would leave the text."""
-    wide = rows.shape[1] - 2
-    flat = gram_hash(BYTE_CODE[rows[:, :-2].ravel()], spec.window)
-    h = np.zeros(rows.shape[0] * wide, U64)
-    h[: len(flat)] = flat
-    h = mix(h.reshape(-1, wide)[:, : spec.reach + 1]) | U64(1)
-    j = np.arange(spec.reach + 1)
-    h[(j < spec.reach - rows[:, -2, None].astype(int)) | (j > rows[:, -1, None])] = 0
-    return h
+def _unpack(body: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(expand(body, np.uint8).reshape(width, -1).T)
 
 
 class _Finish:
@@ -83,12 +130,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     [start, end) byte ranges and the kept bytes. Null text is empty; texts shorter than the window
     are kept whole. Rows with equal ids don't remove each other's bytes; a null id has no order, so
     such rows are kept whole and remove nothing. Other columns are ignored. An empty table gives none.
+    ``window``: 2 to 100 bytes.
     """
-    gram = max(1, min(GRAM, window - 1))
-    if window - gram > 63:
-        gram = window - 63
-    spec, finish = Repeats(window, gram, _symbols, _surround, _windows), _Finish(spans)
-    out = find_repeats(docs.where(F.col(id_col).isNotNull()), id_col, text_col, spec, (np.uint8, gram + 2 * (window - gram) + 2), finish)
+    spec = Repeats(Shape(window, min(SMALL, max(1, window // 4))), np.uint8, Bytes, corpus_order, _pack, _unpack)
+    out = find_repeats(docs.where(F.col(id_col).isNotNull()), id_col, text_col, spec, _Finish(spans))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),

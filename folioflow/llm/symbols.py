@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: Symbols per slice of a vector kernel: temporaries of this length stay in the CPU's cache.
@@ -66,35 +67,6 @@ def slide(values: np.ndarray, w: int, op) -> np.ndarray:
     return op(cur[: len(cur) - rest], cur[rest:]) if rest else cur
 
 
-def anchors(codes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the trigger k-grams of a code sequence.
-
-    A k-gram is a trigger if its hash is the smallest in some run of ``window`` consecutive
-    symbols, so every such run holds one whole trigger, equal runs hold it at the same place,
-    and on average every (window - k + 2) / 2 symbols there is one. Worked in slices that
-    overlap by the window, which gives the same triggers as one pass.
-    """
-    n, w = len(codes), window - k + 1
-    if n < k:
-        return np.empty(0, np.int64), np.empty(0, U64)
-    pos, out = [], []
-    for a in range(0, n - k + 1, SLICE):
-        lo, hi = max(0, a - w), min(n, a + SLICE + w + k)
-        h = mix(gram_hash(codes[lo:hi], k))
-        order = (h >> U64(32)).astype(np.uint32)
-        if len(order) >= w:
-            low = slide(order, w, np.minimum)
-            pad = np.zeros(w - 1, np.uint32)
-            chosen = slide(np.concatenate([pad, low, pad]), w, np.maximum) == order
-        else:
-            chosen = order == order.min()
-        at = np.flatnonzero(chosen)
-        at = at[(at + lo >= a) & (at + lo < a + SLICE)]
-        pos.append(at + lo)
-        out.append(h[at])
-    return np.concatenate(pos), np.concatenate(out)
-
-
 @dataclass
 class Texts:
     """A batch of texts as one byte buffer: text i is data[start[i]:end[i]]. Nulls are empty."""
@@ -156,6 +128,12 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     out = np.zeros(len(start), U64)
     if not len(start):
         return out
+    if int((end - start).max()) > SLICE:
+        # Very long spans need no table of powers as long as they are.
+        large = end - start > SLICE
+        out[~large] = span_hash(data, start[~large], end[~large])
+        out[large] = [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(start[large].tolist(), end[large].tolist())]
+        return out
     longest = int((end - start).max())
     powers = np.cumprod(np.full(longest + 1, RADIX))
     step = max(1, (4 * SLICE) // max(1, int((end - start).mean()) + 1))

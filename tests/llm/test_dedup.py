@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -67,6 +68,62 @@ def test_passages(docs, monkeypatch, chunk):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256, got[i].kept) == (len(w), sum(flags[i]), hashlib.sha256(kept.encode()).hexdigest(), kept)
 
 
+@pytest.mark.parametrize("window", [2, 9, 50, 100])
+def test_repeats_of_few_symbols_with_hot_triggers_and_short_slices(spark, monkeypatch, window):
+    # Two letters alone: nearly every trigger has many surroundings, and many chunks share it.
+    for name, value in {"CHUNK_BYTES": 700, "RANGE_BYTES": 3000, "HOT": 2, "SLICE": 64, "COMPARED": 50, "REMEMBERED": 100}.items():
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(window)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.choice([0, 20, 90, 300])))) for i in range(40)]
+    rows += [(50 + i, rows[i][1][7:] + " a a" * 40) for i in range(0, 20, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for got, sequences in (
+        (substrings.dedup_substrings(df, window=window), [(i, t.encode()) for i, t in rows]),
+        (passages.dedup_passages(df, window=window), [(i, t.split()) for i, t in rows]),
+    ):
+        flags = covered(sequences, window)
+        assert {r.doc_id: r.n_removed for r in got.collect()} == {i: sum(f) for i, f in flags.items()}
+
+
+def test_triggers_depend_on_the_gram_alone():
+    shape = repeats.Shape(50, 8)
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 101, 5000, dtype=np.uint8).tobytes()
+    spec = repeats.Repeats(shape, np.uint8, substrings.Bytes, None, None, None)
+
+    def grams(text):
+        table = pa.table({"id": [1], "text": [text.decode()], "row": [0]})
+        return {int(a) for at, *_ in repeats.Chunk(table, spec, 0).triggers() for a in at}
+
+    whole, tail = grams(data), grams(data[1000:])
+    assert {a - 1000 for a in whole if a >= 1000 + shape.most} == {a for a in tail if a >= shape.most}
+    assert all(any(a in whole for a in range(p, p + shape.most + 1)) for p in range(5000 - 50))
+
+
+def test_corpus_order_against_all_pairs():
+    shape = repeats.Shape(50, 8)
+    rng = np.random.default_rng(9)
+    n = 400
+    rows = np.zeros((n, shape.width), np.uint8)
+    rows[:, 2:] = rng.integers(0, 2, (n, shape.width - 2)) * (rng.random((n, shape.width - 2)) < 0.02)
+    rows[:, 1] = rng.integers(0, shape.most + 1, n)
+    key, ids = np.sort(rng.integers(0, 5, n)).astype(np.uint64), rng.integers(0, 50, n)
+    marks = substrings.corpus_order(key, ids, rows, shape)
+    for l in range(shape.most + 1):
+        run = [(int(k), r[2 : 2 + l].tobytes(), r[2 + shape.most : 2 + shape.most + shape.reach - l].tobytes()) if r[0] <= l <= r[1] else None for k, r in zip(key, rows)]
+        first = {}
+        for r, i in zip(run, ids.tolist()):
+            first[r] = min(first.get(r, i), i)
+        assert [bool(m >> l & 1) for m in marks.tolist()] == [r is not None and first[r] < i for r, i in zip(run, ids.tolist())]
+
+
+def test_a_long_text_of_one_letter(spark):
+    # Each place is a trigger here, so what a place costs in memory counts.
+    text = "a" * 5_000_000
+    got = substrings.dedup_substrings(spark.createDataFrame([(1, text), (2, "b" + text)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == [(1, 5_000_000, 0), (2, 5_000_001, 5_000_000)]
+
+
 def test_repeats_of_nothing_and_null_ids(spark, docs):
     assert substrings.dedup_substrings(docs.limit(0)).count() == 0
     assert passages.dedup_passages(docs.limit(0)).count() == 0
