@@ -2,11 +2,13 @@
 
 A fingerprint within ``radius`` bits of another agrees with it in at least ``agree`` of
 ``radius + agree`` bit blocks, so fingerprints are dealt into a shard for each choice of blocks and
-every link falls inside some shard. The number of blocks that must agree grows with the corpus,
-which holds shards at a few dozen fingerprints. Each shard builds a BK-tree, whose children are
-keyed by their integer Hamming distance to the parent, and all fingerprints of the shard descend it
-together along the edges within the radius. Shards travel to tasks by key, as their number and
-total size grow with the corpus; a broadcast of all trees would have no proven bound.
+every link falls inside some shard. A shard's key takes as many bits of its blocks as leave some thousand
+fingerprints in a shard; more blocks must agree where one has too few bits. Each shard is a BK-tree, whose
+children are keyed by their integer Hamming distance to the parent; a fingerprint descends it along the
+edges within the radius of its own distance. Fingerprints that are found leave the tree, so that each is
+asked once, about what no other has reached. Shards travel to tasks by key, as their number and total size
+grow with the corpus; a broadcast of all trees would have no proven bound and pass through the driver. A
+shard that is too large for a task is cut into parts, and each two parts are a task.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from folioflow.llm.components import components
 from folioflow.llm.runtime import cut, ready, table
 from folioflow.llm.symbols import U64, Texts, Words, mix
 
-#: Fingerprints that a shard should hold on average, at most.
-SHARD_SIZE = 64
-#: Fingerprints under a BK-tree node that are compared one by one.
-LEAF = 48
+#: Fingerprints that a shard should hold on average, at most, and that are asked at once.
+SHARD_SIZE, ASKED = 2048, 256
+#: Fingerprints of a shard, and shingles of a group of candidates, that one task holds at most; and large
+#: shards or groups whose list is broadcast, at most (a megabyte).
+LARGE, LARGE_SETS, LISTED = 1 << 14, 1 << 23, 1 << 16
 #: Jaccard similarity of the five-word shingle sets of a link in ``similar_groups``, as a fraction.
 SIMILAR = 4, 5
 #: Words of a wide fingerprint; the share of differing bits of texts at the similarity limit (a Jaccard
@@ -121,86 +124,142 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def shard_keys(n: int, radius: int) -> list[list[tuple[int, int]]]:
     """The block choices for n fingerprints: lists of (shift, bits) whose values are a shard's key."""
-    agree = 1
-    while agree < 4 and n >> (64 * agree // (radius + agree)) > SHARD_SIZE:
+    bits, agree = max(0, -(-n // SHARD_SIZE) - 1).bit_length(), 1
+    if not bits:
+        return [[]]
+    while agree < 4 and 64 // (radius + agree) * agree < bits:
         agree += 1
     parts = radius + agree
     edges = [64 * i // parts for i in range(parts + 1)]
-    blocks = [(a, b - a) for a, b in zip(edges, edges[1:])]
-    return [list(c) for c in combinations(blocks, agree)]
+    taken = min(64 // parts, -(-bits // agree))
+    return [[(edges[i], taken) for i in c] for c in combinations(range(parts), agree)]
 
 
 def _shard(fp: Column, choice: int, blocks: list[tuple[int, int]]) -> Column:
     values = [F.shiftrightunsigned(fp, a).bitwiseAND((1 << n) - 1) for a, n in blocks]
-    return F.struct(F.lit(choice).alias("choice"), F.xxhash64(F.lit(choice), *values).alias("key"))
-
-
-def distance(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
-    """Differing bits of fingerprints of one 64-bit word, or of several along the last axis."""
-    d = np.bitwise_count(a ^ b)
-    return d.sum(axis=-1, dtype=np.int16) if wide else d
+    return F.xxhash64(F.lit(choice), *values)
 
 
 class BKTree:
-    """BK-tree over an array of fingerprints; answers range queries for many fingerprints at once."""
+    """BK-tree over distinct fingerprints, in arrays: nodes are numbered level by level, so that a node's
+    children stand together in the order of their distances to it."""
 
     def __init__(self, items: np.ndarray) -> None:
-        self.items, self.wide = items, items.ndim > 1
-        self.root = self._build(np.arange(len(items)))
-
-    def _build(self, at: np.ndarray):
-        if len(at) <= LEAF:
-            return at
-        pivot, rest = at[0], at[1:]
-        d = distance(self.items[rest], self.items[pivot], self.wide)
-        return pivot, [(int(x), self._build(rest[d == x])) for x in np.unique(d)]
-
-    def links(self, radius: int):
-        """Yields (place, places): each node with the later-visited items within the radius."""
-        stack = [(self.root, np.arange(len(self.items)))]
-        while stack:
-            node, asked = stack.pop()
-            if isinstance(node, tuple):
-                pivot, children = node
-                d = distance(self.items[asked], self.items[pivot], self.wide).astype(np.int16)
-                yield pivot, asked[d <= radius]
-                stack += [(child, q) for x, child in children if len(q := asked[np.abs(d - x) <= radius])]
-            elif len(node) * len(asked) <= 1 << 18:
-                near = distance(self.items[node][:, None], self.items[asked][None], self.wide) <= radius
-                # A tree that is one leaf is asked about by its own items, each of which meets itself.
-                for i in np.flatnonzero(near.sum(axis=1) > (node is self.root)).tolist():
-                    yield node[i], asked[near[i]]
-            else:
-                for pivot in node:
-                    yield pivot, asked[distance(self.items[asked], self.items[pivot], self.wide) <= radius]
+        self.items = items
+        node, parent, edge = [], [], []
+        left, group, count = np.arange(len(items)), np.zeros(len(items), np.int64), 0
+        above, distance = np.array([-1]), np.array([0])
+        while len(left):
+            # The first member of each group is a node; the others hang below it by their distances.
+            lead = np.concatenate([[True], group[1:] != group[:-1]])
+            which = np.cumsum(lead) - 1
+            node.append(left[lead])
+            parent.append(above)
+            edge.append(distance)
+            rest, which = left[~lead], which[~lead]
+            d = np.bitwise_count(items[rest] ^ items[node[-1][which]]).astype(np.int64)
+            order = np.argsort(which * 65 + d, kind="stable")
+            left, own, d = rest[order], which[order] + count, d[order]
+            count += len(node[-1])
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (d[1:] != d[:-1])]) if len(left) else np.empty(0, bool)
+            group, above, distance = np.cumsum(new), own[new], d[new]
+        self.node, self.depth = np.concatenate([np.empty(0, np.int64), *node]), len(node)
+        parent, edge = (np.concatenate([np.empty(0, np.int64), *x]) for x in (parent, edge))
+        # Column e of a node: its first child at a distance of e or more.
+        asked = (np.arange(count)[:, None] * 66 + np.arange(66)[None]).ravel()
+        self.child = (np.searchsorted(parent[1:] * 66 + edge[1:], asked) + 1).astype(np.int32).reshape(count, 66)
+        self.visited = 0
+
+    def near(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``asked``, place in the tree's items) of all pairs within the radius."""
+        q, at = np.arange(len(asked)), np.zeros(len(asked), np.int64)
+        if not len(self.node):
+            q = at = np.empty(0, np.int64)
+        found = [(q[:0], at[:0])]
+        while len(q):
+            self.visited += len(q)
+            d = np.bitwise_count(asked[q] ^ self.items[self.node[at]]).astype(np.int64)
+            hit = d <= radius
+            found.append((q[hit], self.node[at[hit]]))
+            first = self.child[at, np.maximum(0, d - radius)].astype(np.int64)
+            n = self.child[at, np.minimum(64, d + radius) + 1] - first
+            q = np.repeat(q, n)
+            at = np.arange(len(q)) - np.repeat(np.cumsum(n) - n - first, n)
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return a, b
 
 
 def spanning(items: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of places that connect the same items as all links within the radius do."""
-    group, out = np.arange(len(items)), []
-    for pivot, near in BKTree(items).links(radius):
-        other = near[group[near] != group[pivot]]
-        if len(other):
-            joined, first = np.unique(group[other], return_index=True)
-            out += [(int(pivot), int(x)) for x in other[first]]
-            group[np.isin(group, joined)] = group[pivot]
-    return out
+    """Pairs of places that connect the same distinct fingerprints as all links within the radius do.
+
+    What was reached is asked next and leaves the tree, which is built anew when half of it has left.
+    """
+    out: list[tuple[int, int]] = []
+    free = np.ones(len(items), bool)
+    waiting, seeds = np.empty(0, np.int64), 0
+    there, tree, left = np.empty(0, np.int64), None, len(items)
+    while True:
+        if not len(waiting):
+            # New ones begin; those that link to each other at once are found among themselves.
+            some = seeds + np.flatnonzero(free[seeds : seeds + 4 * ASKED])[:ASKED]
+            if not len(some):
+                seeds += 4 * ASKED
+                if seeds >= len(items):
+                    return out
+                continue
+            a, b = np.nonzero(np.triu(np.bitwise_count(items[some][:, None] ^ items[some][None]) <= radius, 1))
+            out += zip(some[a].tolist(), some[b].tolist())
+            free[some] = False
+            left -= len(some)
+            waiting = some
+        if tree is None or 2 * left < len(there):
+            there = np.flatnonzero(free)
+            tree = BKTree(items[there])
+        asked, waiting = waiting[:ASKED], waiting[ASKED:]
+        q, place = tree.near(items[asked], radius)
+        open_ = free[there[place]]
+        q, place = q[open_], there[place[open_]]
+        # Two that are asked and reach the same one are linked through it.
+        out += zip(asked[q].tolist(), place.tolist())
+        reached = np.unique(place)
+        free[reached] = False
+        left -= len(reached)
+        waiting = np.concatenate([waiting, reached])
+
+
+def in_tasks(rows: DataFrame, key: str, item: str, most: int, weight: Column | None = None) -> DataFrame:
+    """``rows`` with a ``task`` for those of one key. A key whose rows weigh more than ``most`` is cut into
+    parts by ``item``, and each two of its parts are a task, so that any two rows of a key meet in one."""
+    total = F.sum(weight if weight is not None else F.lit(1))
+    large = cut(rows.groupBy(key).agg(total.alias("total")).where(F.col("total") > most).select(key, F.ceil(F.col("total") * 2 / most).cast("int").alias("parts")))
+    n = large.count()
+    if not n:
+        return rows.withColumn("task", F.xxhash64(key))
+    dealt = rows.join(F.broadcast(large) if n <= LISTED else large, key, "left").withColumn("part", F.pmod(F.xxhash64(item), F.coalesce("parts", F.lit(1))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part"))
+    pairs = F.when(F.col("parts").isNull(), F.array(F.xxhash64(key))).otherwise(F.transform(others, lambda q: F.xxhash64(F.col(key), F.least(q, "part"), F.greatest(q, "part"))))
+    return dealt.withColumn("task", F.explode(pairs)).drop("parts", "part")
+
+
+def _runs(task: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order by task, and the [start, end) of each task with several rows."""
+    order = np.argsort(task, kind="stable")
+    task = task[order]
+    edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]])).tolist()
+    return order, [(s, e) for s, e in zip(edges, edges[1:]) if e - s > 1]
 
 
 def _link(radius: int):
     def link(key: Key, rows: pa.Table) -> pa.Table:
-        shard, fp = rows["shard"].to_numpy(), rows["fp"].to_numpy()
-        order = np.argsort(shard, kind="stable")
-        shard, fp = shard[order], fp[order].view(U64)
-        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        a, b = [], []
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if e - s > 1:
-                items = fp[s:e]
-                for x, y in spanning(items, radius):
-                    a.append(items[x])
-                    b.append(items[y])
-        return pa.table({"src": np.array(a, U64).view(np.int64), "dst": np.array(b, U64).view(np.int64)})
+        order, runs = _runs(rows["task"].to_numpy())
+        fp, a, b = rows["fp"].to_numpy()[order].view(U64), [], []
+        for s, e in runs:
+            items = fp[s:e]
+            pairs = np.array(spanning(items, radius), np.int64).reshape(-1, 2)
+            a.append(items[pairs[:, 0]])
+            b.append(items[pairs[:, 1]])
+        src, dst = (np.concatenate([np.empty(0, U64), *x]).view(np.int64) for x in (a, b))
+        return pa.table({"src": src, "dst": dst})
 
     return link
 
@@ -208,9 +267,9 @@ def _link(radius: int):
 def near_links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
     """(src, dst) pairs of fingerprints that connect all of ``distinct`` (fp) within the radius."""
     keys = shard_keys(n, radius)
-    shards = distinct.select("fp", F.explode(F.array(*(_shard(F.col("fp"), i, blocks) for i, blocks in enumerate(keys)))).alias("s")).select("fp", F.col("s.key").alias("shard"))
+    shards = distinct.select("fp", F.explode(F.array(*(_shard(F.col("fp"), i, blocks) for i, blocks in enumerate(keys)))).alias("shard"))
     calls = max(1, n * len(keys) // CALL_ROWS)
-    return shards.groupBy(F.pmod("shard", F.lit(calls)).alias("call")).applyInArrow(_link(radius), "src long, dst long").distinct()
+    return in_tasks(shards, "shard", "fp", LARGE).groupBy(F.pmod("task", F.lit(calls)).alias("call")).applyInArrow(_link(radius), "src long, dst long").distinct()
 
 
 def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -281,17 +340,14 @@ def wide_spanning(items: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _wide_link(radius: int):
     def link(key: Key, rows: pa.Table) -> pa.Table:
-        shard, node = rows["shard"].to_numpy(), rows["node"].to_numpy()
-        wide = rows["wide"].combine_chunks().flatten().to_numpy().reshape(-1, WIDE).view(U64)
-        order = np.argsort(shard, kind="stable")
-        shard, node, wide = shard[order], node[order], wide[order]
-        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+        order, runs = _runs(rows["task"].to_numpy())
+        node = rows["node"].to_numpy()[order]
+        wide = rows["wide"].combine_chunks().flatten().to_numpy().reshape(-1, WIDE).view(U64)[order]
         src, dst = [], []
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if e - s > 1:
-                for x, y in wide_spanning(wide[s:e], radius):
-                    src.append(int(node[s + x]))
-                    dst.append(int(node[s + y]))
+        for s, e in runs:
+            for x, y in wide_spanning(wide[s:e], radius):
+                src.append(int(node[s + x]))
+                dst.append(int(node[s + y]))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return link
@@ -353,26 +409,16 @@ def _verify(key: Key, rows: pa.Table) -> pa.Table:
     return pa.table({"node": node, "similar": node[group]})
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, wide_radius: int | None = None) -> DataFrame:
-    """(doc_id, component_id) by links between texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more. Every link is decided by the two sets themselves.
-
-    Which texts are held against each other follows from candidates of two kinds: those of ``near_groups``,
-    and pairs of 256-bit fingerprints of the sets (at the limit 64 bits are too few to tell a pair from
-    chance) that differ in at most ``wide_radius`` bits and share a shard, one for each of several choices
-    of bits. A pair at exactly 0.8 differs in 39 bits, with a standard deviation of 6, and shares nine
-    shards on average. Texts that candidates connect meet in one call with their whole sets, and all of
-    them are compared there. Texts with one set of shingles are one node.
-    """
+def _similar(docs: DataFrame, id_col: str, text_col: str, radius: int, wide_radius: int) -> DataFrame:
+    """(doc_id, row, component) for each row: row is a hash of its text, component names its group."""
     ready(docs.sparkSession)
-    wide_radius = WIDE_RADIUS if wide_radius is None else wide_radius
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     prints = cut(asked.mapInArrow(_fingerprints([(4, 1), (5, WIDE)], 42), "doc_id long, fp long, wide array<long>, node long, row long"))
     distinct = cut(prints.groupBy("node").agg(F.first("wide").alias("wide"), F.min("row").alias("row")))
     n = distinct.count()
     choices = bit_choices(n)
-    keyed = distinct.select("node", "wide").mapInArrow(_wide_keys(choices), "shard long, node long, wide array<long>")
-    wide_links = keyed.groupBy(F.pmod(F.xxhash64("shard"), F.lit(max(1, n * len(choices) // CALL_ROWS))).alias("call")).applyInArrow(_wide_link(wide_radius), "src long, dst long")
+    keyed = in_tasks(distinct.select("node", "wide").mapInArrow(_wide_keys(choices), "shard long, node long, wide array<long>"), "shard", "node", LARGE)
+    wide_links = keyed.groupBy(F.pmod(F.xxhash64("task"), F.lit(max(1, n * len(choices) // CALL_ROWS))).alias("call")).applyInArrow(_wide_link(wide_radius), "src long, dst long")
     # A fingerprint of 64 bits stands beside the nodes that its texts have.
     narrow = cut(prints.select("fp").distinct())
     pairs = prints.select(F.col("fp").alias("src"), F.col("node").alias("dst")).distinct()
@@ -380,8 +426,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = cut(distinct.select("node", "row").join(found.withColumnRenamed("id", "node"), "node"))
     several = joined.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     texts = asked.select("row", "text").join(joined.join(several, "component"), "row").select("component", "node", "text")
-    verified = texts.mapInArrow(_sets(42), "component long, node long, shingles array<long>").groupBy("component").applyInArrow(_verify, "node long, similar long")
-    labelled = prints.select("doc_id", "node").join(cut(verified), "node", "left").withColumn("component", F.coalesce("similar", "node"))
+    sets = cut(texts.mapInArrow(_sets(42), "component long, node long, shingles array<long>"))
+    verified = cut(in_tasks(sets, "component", "node", LARGE_SETS, F.size("shingles") + 1).groupBy("task").applyInArrow(_verify, "node long, similar long"))
+    # Groups of a component that several tasks share are put together again.
+    if verified.count() > verified.select("node").distinct().count():
+        verified = components(verified.select(F.col("node").alias("src"), F.col("similar").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("similar"))
+    return prints.select("doc_id", "row", "node").join(verified, "node", "left").select("doc_id", "row", F.coalesce("similar", "node").alias("component"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, wide_radius: int | None = None) -> DataFrame:
+    """(doc_id, component_id) by links between texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more. Every link is decided by the two sets themselves.
+
+    Which texts are held against each other follows from candidates of two kinds: those of ``near_groups``,
+    and pairs of 256-bit fingerprints of the sets (at the limit 64 bits are too few to tell a pair from
+    chance) that differ in at most ``wide_radius`` bits and share a shard, one for each of several choices
+    of bits. A pair at exactly 0.8 differs in 39 bits, with a standard deviation of 6, and shares nine
+    shards on average. Texts that candidates connect meet with their whole sets, any two of them in one
+    task, and are compared there. Texts with one set of shingles are one node. Null, empty and blank texts
+    are one set. Null ids take part but are never smallest; an empty table gives none.
+    """
+    labelled = _similar(docs, id_col, text_col, radius, WIDE_RADIUS if wide_radius is None else wide_radius)
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "component").select("doc_id", "component_id")
 
@@ -398,11 +463,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each of ``similar_groups`` does: that with
-    the smallest id. Rows with a null id stay where no other row of their group has an id. Of rows with
-    equal ids in one group all stay."""
-    out = similar_groups(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return docs.alias("d").join(out.alias("o"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("o.id")), "left_anti")
+    """One row of each of the ``similar_groups`` of ``docs``, with all its columns: that with the smallest
+    id, and of rows with that id one text; a row without an id stays where its group has none with one.
+    Of rows with equal ids and texts one stays, whatever their other columns."""
+    labelled = cut(_similar(docs, id_col, text_col, 4, WIDE_RADIUS).groupBy("component", "doc_id", "row").agg(F.count("*").alias("n")))
+    # Rows of one id and text have one set of shingles, so they are in one group.
+    first = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    out = labelled.join(first, "component").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))).select(F.col("doc_id").alias("id"), "row")
+    key = [F.col(f"d.`{id_col}`").cast("long"), F.xxhash64(F.col(f"d.`{text_col}`"))]
+    kept = docs.alias("d").join(out.alias("o"), key[0].eqNullSafe(F.col("o.id")) & (key[1] == F.col("o.row")), "left_anti")
+    repeated = cut(labelled.where("n > 1").select(F.col("doc_id").alias("id"), "row"))
+    if not repeated.limit(1).count():
+        return kept
+    same = key[0].eqNullSafe(F.col("r.id")) & (key[1] == F.col("r.row"))
+    once = kept.alias("d").join(repeated.alias("r"), same, "left_anti")
+    rows = kept.alias("d").join(repeated.alias("r"), same).select(F.col("r.id").alias("id"), F.col("r.row").alias("row"), F.struct(*(F.col(f"d.`{c}`") for c in docs.columns)).alias("doc"))
+    return once.unionAll(rows.groupBy("id", "row").agg(F.first("doc").alias("doc")).select("doc.*"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

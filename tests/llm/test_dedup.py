@@ -239,9 +239,10 @@ def test_wide_spanning_connects_what_all_pairs_do(size):
     assert roots(size, simhash.wide_spanning(items, 30)) == roots(size, np.argwhere(near).tolist())
 
 
-@pytest.mark.parametrize("n", [10, 600_000, 300_000_000])
+@pytest.mark.parametrize("n", [10, 600_000, 30_000_000, 3_000_000_000])
 def test_every_link_shares_a_shard(n):
     rng = random.Random(n)
+    assert n >> sum(w for _, w in simhash.shard_keys(n, 4)[0]) <= simhash.SHARD_SIZE
     for _ in range(300):
         fp = rng.getrandbits(64)
         other = fp
@@ -250,12 +251,69 @@ def test_every_link_shares_a_shard(n):
         assert any(all(fp >> s & (1 << w) - 1 == other >> s & (1 << w) - 1 for s, w in blocks) for blocks in simhash.shard_keys(n, 4))
 
 
-def test_bk_tree_finds_all_links():
+def clustered():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    items = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(12))]))
-    found = {(int(p), int(q)) for p, near in simhash.BKTree(items).links(4) for q in near}
-    assert found == {(i, int(j)) for i in range(len(items)) for j in np.flatnonzero(np.bitwise_count(items ^ items[i]) <= 4)}
+    base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    return np.unique(np.concatenate([base, *(base[:40] ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(12)), base[0] ^ np.arange(700, dtype=np.uint64)]))
+
+
+def test_bk_tree_finds_all_links_without_visiting_all_nodes():
+    items = clustered()
+    tree = simhash.BKTree(items)
+    found = list(zip(*(x.tolist() for x in tree.near(items, 4))))
+    assert len(found) == len(set(found)) and set(found) == {(i, int(j)) for i in range(len(items)) for j in np.flatnonzero(np.bitwise_count(items ^ items[i]) <= 4)}
+    assert tree.depth > 3 and tree.visited < 0.6 * len(items) ** 2
+    assert simhash.BKTree(items[:0]).near(items, 4)[0].tolist() == [] and simhash.BKTree(items[:1]).near(items[:2], 0)[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("asked", [3, 256])
+def test_spanning_connects_what_all_links_do(monkeypatch, asked):
+    monkeypatch.setattr(simhash, "ASKED", asked)
+    items = np.random.default_rng(1).permutation(clustered())
+    pairs = [(i, int(j)) for i in range(len(items)) for j in np.flatnonzero(np.bitwise_count(items ^ items[i]) <= 4)]
+    got = simhash.spanning(items, 4)
+    assert roots(len(items), got) == roots(len(items), pairs) and set(got) <= set(pairs)
+
+
+def test_trees_hold_the_shards_of_a_corpus(spark):
+    prints = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    fp = np.unique(np.array([r.fp for r in prints.collect()]).view(np.uint64))
+    shards = {}
+    for c, blocks in enumerate(simhash.shard_keys(len(fp), 4)):
+        for f in fp.tolist():
+            shards.setdefault((c, *(f >> s & (1 << w) - 1 for s, w in blocks)), []).append(f)
+    assert np.mean([len(x) for x in shards.values()]) > 500
+    trees = [simhash.BKTree(np.array(x, np.uint64)) for x in shards.values()]
+    for tree in trees:
+        tree.near(tree.items, 4)
+    assert min(t.depth for t in trees) > 2 and sum(t.visited for t in trees) < 0.7 * sum(len(t.items) ** 2 for t in trees)
+
+
+def test_large_shards_and_groups_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 40)
+    monkeypatch.setattr(simhash, "LARGE_SETS", 1500)
+    items = [(int(x),) for x in clustered().view(np.int64)]
+    df = spark.createDataFrame(items, "fp long")
+    pairs = [(r.src, r.dst) for r in simhash.near_links(df, len(items), 4).collect()]
+    place = {f: i for i, (f,) in enumerate(items)}
+    a = np.array([f for f, in items]).view(np.uint64)
+    every = [(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 4)]
+    assert roots(len(a), [(place[x], place[y]) for x, y in pairs]) == roots(len(a), every)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:90] + [f"x{rng.random()}"] + base[91:])) for i in range(60)] + [(100 + i, f"other text {i} " * 3) for i in range(5)]
+    got = dict(map(tuple, simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {i: 0 if i < 60 else i for i, _ in rows}
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, long, "a"), (2, long, "b"), (1, "short", "c"), (None, "short", "d"), (None, "alone", "e"), (None, "alone", "e"), (3, None, "f"), (4, "", "g")]
+    left = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, long, "a"), (1, "short", "c"), (None, "alone", "e"), (3, None, "f")], key=str)
+    # Rows of one id with near texts are one group as well.
+    near = spark.createDataFrame([(1, long + " x"), (1, long + " y"), (2, long)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_first(near).collect()] == [1]
 
 
 def test_vectors(spark):
