@@ -42,11 +42,10 @@ SELECT vec_id, coalesce((SELECT count(*) FROM l WHERE l.a = vec_id), 0) AS n_lin
 
 
 def _quality() -> str:
-    ratio = {r: f"{top} * {factor} // nullif({bottom}, 0)" for r, (top, factor, bottom, _, _) in quality.RATIOS.items()}
-    buckets = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, least({x}, {quality.BUCKETS}) AS bucket FROM m WHERE {x} IS NOT NULL" for r, x in ratio.items())
-    slack = " ".join(f"WHEN '{r}' THEN {v[3]}" for r, v in quality.RATIOS.items())
-    low = ", ".join(f"'{r}'" for r, v in quality.RATIOS.items() if v[4])
-    odd = " OR ".join(f"coalesce({x} > (SELECT high FROM fence f WHERE f.level = c.level AND f.lang IS NOT DISTINCT FROM c.g_lang AND f.source IS NOT DISTINCT FROM c.g_source AND f.ratio = '{r}'), false) OR coalesce({x} < (SELECT low FROM fence f WHERE f.level = c.level AND f.lang IS NOT DISTINCT FROM c.g_lang AND f.source IS NOT DISTINCT FROM c.g_source AND f.ratio = '{r}'), false)" for r, x in ratio.items())
+    ratio = {r: f"{top} * {factor} // nullif({bottom}, 0)" for r, (top, factor, bottom, *_) in quality.RATIOS.items()}
+    buckets = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {x} AS bucket FROM m WHERE {x} IS NOT NULL AND NOT failed" for r, x in ratio.items())
+    rule = ", ".join(f"('{r}', {upper}, {'NULL' if lower is None else lower}, {reach})" for r, (_, _, _, upper, lower, reach) in quality.RATIOS.items())
+    odd = " OR ".join(f"coalesce({x} > (SELECT high FROM own WHERE own.of_lang IS NOT DISTINCT FROM m.lang AND own.of_source IS NOT DISTINCT FROM m.source AND own.ratio = '{r}'), false) OR coalesce({x} < (SELECT low FROM own WHERE own.of_lang IS NOT DISTINCT FROM m.lang AND own.of_source IS NOT DISTINCT FROM m.source AND own.ratio = '{r}'), false)" for r, x in ratio.items())
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
@@ -56,22 +55,22 @@ r AS (SELECT doc_id, pos FROM w JOIN (SELECT doc_id, w FROM w GROUP BY ALL HAVIN
 rep AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM r, range(8) t(k) GROUP BY doc_id),
 x AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM d),
 st AS (SELECT doc_id, sum(CAST(same AS INTEGER)) AS n FROM (SELECT doc_id, coalesce(word = lag(word) OVER (PARTITION BY doc_id ORDER BY pos), false) AS same FROM x) GROUP BY doc_id),
-m AS (SELECT d.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+c AS (SELECT d.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(st.n, 0) AS BIGINT) AS n_stutters
   FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN st USING (doc_id)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM c),
 b AS ({buckets}),
 lv AS (SELECT 0 AS level, lang, source, ratio, bucket FROM b UNION ALL SELECT 1, lang, NULL, ratio, bucket FROM b UNION ALL SELECT 2, NULL, NULL, ratio, bucket FROM b),
-q AS (SELECT level, lang, source, ratio, count(*) AS total, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM lv GROUP BY ALL),
-fence AS (SELECT level, lang, source, ratio, CASE WHEN ratio IN ({low}) THEN q1 - ((q3 - q1) * {quality.REACH} + CASE ratio {slack} END) END AS low,
-  q3 + (q3 - q1) * {quality.REACH} + CASE ratio {slack} END AS high FROM q),
-t AS (SELECT level, lang, source, max(total) AS total FROM q GROUP BY ALL),
-c AS (SELECT m.*, CASE WHEN t0.total >= {quality.LEAST_GROUP} THEN 0 WHEN t1.total >= {quality.LEAST_GROUP} THEN 1 ELSE 2 END AS level,
-  CASE WHEN t0.total >= {quality.LEAST_GROUP} OR t1.total >= {quality.LEAST_GROUP} THEN m.lang END AS g_lang, CASE WHEN t0.total >= {quality.LEAST_GROUP} THEN m.source END AS g_source
-  FROM m LEFT JOIN t t0 ON t0.level = 0 AND t0.lang IS NOT DISTINCT FROM m.lang AND t0.source IS NOT DISTINCT FROM m.source
-  LEFT JOIN t t1 ON t1.level = 1 AND t1.lang IS NOT DISTINCT FROM m.lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT ({odd}) AS kept FROM c
+rk AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS k, count(*) OVER (PARTITION BY level, lang, source, ratio) AS total FROM lv),
+q AS (SELECT level, lang, source, ratio, reach, max(total) AS total, min(bucket) FILTER (WHERE k * 100 >= total * 50) AS mid, min(bucket) FILTER (WHERE k * 100 >= total * upper) AS top,
+  min(bucket) FILTER (WHERE k * 100 >= total * lower) AS bottom FROM rk JOIN (VALUES {rule}) rule(ratio, upper, lower, reach) USING (ratio) GROUP BY ALL),
+fence AS (SELECT level, lang, source, ratio, mid - (mid - bottom) * reach AS low, mid + (top - mid) * reach AS high FROM q
+  WHERE level = 2 OR total >= {quality.LEAST_GROUP} AND top > coalesce(bottom, mid)),
+own AS (SELECT g.lang AS of_lang, g.source AS of_source, f.ratio, f.low, f.high FROM (SELECT DISTINCT lang, source FROM m) g JOIN fence f ON f.level = 2
+  OR f.level = 1 AND f.lang IS NOT DISTINCT FROM g.lang OR f.level = 0 AND f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source
+  QUALIFY row_number() OVER (PARTITION BY g.lang, g.source, f.ratio ORDER BY f.level) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND NOT ({odd}) AS kept FROM m
 """
 
 

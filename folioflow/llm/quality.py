@@ -1,10 +1,12 @@
 """Quality rules whose thresholds follow the corpus.
 
-Per document a few counts are taken; their ratios go into quantile sketches per language and
-source. A sketch is a histogram over integer buckets, without a bound as fences and documents must be
-on one scale, so sketches merge by adding counts, in any order, to the same result. Groups with few documents use the merged sketch of their
-language, or of the whole corpus. A document is rejected where a ratio lies beyond a fence drawn
-from its group's quartiles; thresholds are joined to the documents by group.
+Per document a few counts are taken; their ratios go into quantile sketches per language and source, from
+all documents that pass the base rules. A sketch is a histogram over integer buckets, without a bound as
+fences and documents must be on one scale, so sketches merge by adding counts, in any order, to the same
+result. A fence stands at a multiple of the distance from a group's median to the quantile of a documented
+rank; nothing else goes into it. A group with few documents, or without any distance, tells nothing and
+takes the fence of its language, and that in turn the corpus's. A document is rejected where a ratio lies
+beyond its fence; fences are joined to the documents by group.
 """
 
 from __future__ import annotations
@@ -19,20 +21,19 @@ from folioflow.llm.symbols import IS_SPACE, U64, Texts, Words, gram_hash, mix, s
 
 #: Words of a window that counts as repeated when it is found twice.
 REPEAT = 8
-#: Documents that a group needs for thresholds of its own.
-LEAST_GROUP = 100
-#: Interquartile ranges beyond the quartiles that are still accepted.
-REACH = 3
-#: Ratio -> (numerator, factor, denominator, slack, has a lower fence too).
+#: Documents that a group needs for fences of its own: two above the highest rank.
+LEAST_GROUP = 200
+#: Ratio -> (numerator, factor, denominator, rank of the upper quantile in hundredths, rank of the lower one
+#: or none, distances from the median that are still accepted). Symbols, stutters and word lengths mark junk,
+#: which may make up some of the upper tenth; single repeats are common in good texts, so only values far
+#: beyond the highest hundredth count.
 RATIOS = {
-    "length": ("word_chars", 10, "n_words", 15, True),
-    "symbols": ("n_symbols", 1000, "word_chars", 20, False),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 350, False),
-    "repeats": ("n_repeat_words", 1000, "n_words", 300, False),
-    "stutters": ("n_stutters", 1000, "n_words", 150, False),
+    "length": ("word_chars", 10, "n_words", 90, 10, 4),
+    "symbols": ("n_symbols", 1000, "word_chars", 90, None, 4),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines", 99, None, 2),
+    "repeats": ("n_repeat_words", 1000, "n_words", 99, None, 2),
+    "stutters": ("n_stutters", 1000, "n_words", 90, None, 4),
 }
-#: The top bucket of the SQL, which clips there; ratios of at most 1000 have the same buckets in both.
-BUCKETS = 1000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters"]
 
 _SYMBOL = np.zeros(256, bool)
@@ -111,14 +112,19 @@ def _measure(batches):
 
 
 def _ratio(name: str) -> Column:
-    top, factor, bottom, _, _ = RATIOS[name]
+    top, factor, bottom, *_ = RATIOS[name]
     return F.when(F.col(bottom) > 0, F.expr(f"{top} * {factor} div {bottom}"))
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, level, ratio, bucket, n): one mergeable histogram for each group and ratio, for
     each language (level 1) and for all (level 2)."""
-    long = measured.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), _ratio(r).alias("bucket")) for r in RATIOS))).alias("x"))
+    good = measured.where(~_failed())
+    long = good.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), _ratio(r).alias("bucket")) for r in RATIOS))).alias("x"))
     base = long.select("lang", "source", "x.ratio", "x.bucket").where("bucket is not null").groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
     levels = [base.withColumn("level", F.lit(0)), base.withColumn("source", F.lit(None).cast("string")).withColumn("level", F.lit(1)), base.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}).withColumn("level", F.lit(2))]
     every = levels[0].unionByName(levels[1]).unionByName(levels[2])
@@ -126,40 +132,41 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, ratio, total, low, high): a sketch's accepted range."""
+    """(level, lang, source, ratio, low, high): the accepted range of each sketch that tells one."""
     by = Window.partitionBy("level", "lang", "source", "ratio")
     seen = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
-    quartiles = seen.groupBy("level", "lang", "source", "ratio").agg(
-        F.max("total").alias("total"), F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3")
+    setting = lambda k: F.element_at(F.create_map(*(F.lit(x) for r, v in RATIOS.items() for x in (r, v[k]))), F.col("ratio"))
+    at = lambda rank: F.min(F.when(F.col("upto") * 100 >= F.col("total") * rank, F.col("bucket")))
+    found = seen.withColumns({"upper": setting(3), "lower": setting(4), "reach": setting(5)}).groupBy("level", "lang", "source", "ratio", "lower", "reach").agg(
+        F.max("total").alias("total"), at(F.lit(50)).alias("mid"), at(F.col("upper")).alias("top"), at(F.col("lower")).alias("bottom")
     )
-    slack = F.element_at(F.create_map(*(F.lit(x) for r, v in RATIOS.items() for x in (r, v[3]))), F.col("ratio"))
-    both = F.col("ratio").isin([r for r, v in RATIOS.items() if v[4]])
-    room = (F.col("q3") - F.col("q1")) * REACH + slack
-    return quartiles.select("level", "lang", "source", "ratio", "total", F.when(both, F.col("q1") - room).alias("low"), (F.col("q3") + room).alias("high"))
+    # Without a lower rank there is no lower quantile, and no fence there.
+    tells = (F.col("level") == 2) | (F.col("total") >= LEAST_GROUP) & (F.col("top") > F.coalesce("bottom", "mid"))
+    return found.where(tells).select(
+        "level", "lang", "source", "ratio", (F.col("mid") - (F.col("mid") - F.col("bottom")) * F.col("reach")).alias("low"), (F.col("mid") + (F.col("top") - F.col("mid")) * F.col("reach")).alias("high")
+    )
+
+
+def limits(measured: DataFrame) -> DataFrame:
+    """(of_lang, of_source, low_<ratio>, high_<ratio>): the fences of each group, of the finest level that tells them."""
+    nothing = F.lit(None).cast("string")
+    levels = [(F.lit(0), F.col("lang"), F.col("source")), (F.lit(1), F.col("lang"), nothing), (F.lit(2), nothing, nothing)]
+    asked = measured.select("lang", "source").distinct().select(
+        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.explode(F.array(*(F.struct(a.alias("at"), b.alias("at_lang"), c.alias("at_source")) for a, b, c in levels))).alias("x")
+    ).select("of_lang", "of_source", "x.*")
+    found = fences(sketches(measured))
+    every = asked.join(found, (F.col("at") == F.col("level")) & F.col("at_lang").eqNullSafe(F.col("lang")) & F.col("at_source").eqNullSafe(F.col("source")))
+    pick = lambda r, side: F.min_by(side, F.when(F.col("ratio") == r, F.col("level"))).alias(f"{side}_{r}")
+    return every.groupBy("of_lang", "of_source").agg(*(pick(r, side) for r in RATIOS for side in ("low", "high")))
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """``measured`` with base_failed and kept."""
-    spread = fences(sketches(measured)).groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"), *(F.max(F.when(F.col("ratio") == r, F.col(side))).alias(f"{side}_{r}") for r in RATIOS for side in ("low", "high"))
-    )
-    # A group's level is the finest with enough documents; level 2, the whole corpus, always is.
-    groups, langs = (spread.where(F.col("level") == k).select("lang", "source", F.col("total").alias(f"n{k}")) for k in range(2))
-    sized = groups.join(langs.select(F.col("lang").alias("of_lang"), "n1"), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    level = F.when(F.col("n0") >= LEAST_GROUP, 0).when(F.col("n1") >= LEAST_GROUP, 1).otherwise(2)
-    asked = sized.withColumn("at", level).select(
-        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "at", F.when(F.col("at") < 2, F.col("lang")).alias("at_lang"), F.when(F.col("at") < 1, F.col("source")).alias("at_source")
-    )
-    limits = F.struct(*(f"{side}_{r}" for r in RATIOS for side in ("low", "high"))).alias("limits")
-    chosen = asked.join(
-        spread.select("level", "lang", "source", limits), (F.col("at") == F.col("level")) & F.col("at_lang").eqNullSafe(F.col("lang")) & F.col("at_source").eqNullSafe(F.col("source")), "left"
-    ).select("of_lang", "of_source", "limits")
-    out = measured.join(chosen, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
+    out = measured.join(limits(measured), F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     odd = F.lit(False)
     for r in RATIOS:
-        odd = odd | F.coalesce(_ratio(r) > F.col(f"limits.high_{r}"), F.lit(False)) | F.coalesce(_ratio(r) < F.col(f"limits.low_{r}"), F.lit(False))
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd).drop("of_lang", "of_source", "limits")
+        odd = odd | F.coalesce(_ratio(r) > F.col(f"high_{r}"), F.lit(False)) | F.coalesce(_ratio(r) < F.col(f"low_{r}"), F.lit(False))
+    return out.withColumn("base_failed", _failed()).withColumn("kept", ~_failed() & ~odd).select(*measured.columns, "base_failed", "kept")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

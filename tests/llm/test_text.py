@@ -104,10 +104,24 @@ def test_quality_keeps_good_and_drops_bad(spark):
 
 
 def test_fences_by_hand(spark):
-    rows = [(1, "en", "s", "dup_lines", b, n) for b, n in ((0, 80), (10, 10), (400, 10))]
-    df = spark.createDataFrame(rows, "level int, lang string, source string, ratio string, bucket long, n long")
-    r = quality.fences(df).first()
-    assert (r.total, r.low, r.high) == (100, None, 350)
+    rows = [(1, "en", "dup_lines", b, n) for b, n in ((0, 180), (10, 18), (400, 2))]  # the 198th of 200 is the 99th hundredth
+    rows += [(1, "en", "length", b, n) for b, n in ((40, 19), (44, 1), (50, 160), (53, 20))]  # the 20th and the 180th
+    rows += [(1, "fr", "length", 50, 1000), (1, "de", "length", 50, 100), (1, "de", "length", 60, 99), (2, None, "length", 50, 9)]
+    df = spark.createDataFrame([(a, b, None, *c) for a, b, *c in rows], "level int, lang string, source string, ratio string, bucket long, n long")
+    assert sorted((r.lang or "", r.ratio, r.low, r.high) for r in quality.fences(df).collect()) == [("", "length", 50, 50), ("en", "dup_lines", None, 20), ("en", "length", 26, 50)]
+
+
+def test_fences_follow_their_groups(spark):
+    rng = random.Random(3)
+    word = lambda size: "".join(rng.choice("abcdefgh") for _ in range(size))
+    text = lambda low, high, marks: " ".join("#" * (i < marks) + word(rng.randrange(low, high) - (i < marks)) for i in range(60))
+    rows = [(i, text(3, 6, 0), "en", "prose") for i in range(250)] + [(1000 + i, text(8, 14, i % 9), "en", "code") for i in range(250)]
+    rows += [(2000, text(3, 6, 12), "en", "prose"), (2001, text(8, 14, 12), "en", "code"), (2002, text(8, 14, 0), "en", "prose"), (2003, text(3, 6, 0), "en", "code"), (2004, text(3, 6, 0), "en", "few")]
+    kept = against_sql(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert [kept[i] for i in range(2000, 2005)] == [True, True, False, False, True]
+    assert sum(kept.values()) >= 500
+    found = {(r.of_source): r for r in quality.limits(quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", "text", "lang", "source")).collect()}
+    assert found["prose"].high_length < found["code"].low_length and found["few"].low_length < found["prose"].low_length
 
 
 def against_sql(rows):
