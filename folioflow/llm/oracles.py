@@ -45,7 +45,7 @@ def _quality() -> str:
     ratio = {r: f"{top} * {factor} // nullif({bottom}, 0)" for r, (top, factor, bottom, *_) in quality.RATIOS.items()}
     buckets = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {x} AS bucket FROM m WHERE {x} IS NOT NULL AND NOT failed" for r, x in ratio.items())
     rule = ", ".join(f"('{r}', {upper}, {'NULL' if lower is None else lower}, {reach})" for r, (_, _, _, upper, lower, reach) in quality.RATIOS.items())
-    odd = " OR ".join(f"coalesce({x} > (SELECT high FROM own WHERE own.of_lang IS NOT DISTINCT FROM m.lang AND own.of_source IS NOT DISTINCT FROM m.source AND own.ratio = '{r}'), false) OR coalesce({x} < (SELECT low FROM own WHERE own.of_lang IS NOT DISTINCT FROM m.lang AND own.of_source IS NOT DISTINCT FROM m.source AND own.ratio = '{r}'), false)" for r, x in ratio.items())
+    odd = " OR ".join(f"coalesce({x} > (SELECT high FROM own WHERE own.of_lang IS NOT DISTINCT FROM m.lang AND own.of_source IS NOT DISTINCT FROM m.source AND own.ratio = '{r}') AND {quality.RATIOS[r][0]} > 1, false) OR coalesce({x} < (SELECT low FROM own WHERE own.of_lang IS NOT DISTINCT FROM m.lang AND own.of_source IS NOT DISTINCT FROM m.source AND own.ratio = '{r}'), false)" for r, x in ratio.items())
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),

@@ -165,7 +165,8 @@ def judge(measured: DataFrame) -> DataFrame:
     out = measured.join(limits(measured), F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     odd = F.lit(False)
     for r in RATIOS:
-        odd = odd | F.coalesce(_ratio(r) > F.col(f"high_{r}"), F.lit(False)) | F.coalesce(_ratio(r) < F.col(f"low_{r}"), F.lit(False))
+        # A single event is the least that a text can have, so it is no evidence against it.
+        odd = odd | F.coalesce((_ratio(r) > F.col(f"high_{r}")) & (F.col(RATIOS[r][0]) > 1), F.lit(False)) | F.coalesce(_ratio(r) < F.col(f"low_{r}"), F.lit(False))
     return out.withColumn("base_failed", _failed()).withColumn("kept", ~_failed() & ~odd).select(*measured.columns, "base_failed", "kept")
 
 
