@@ -1,13 +1,14 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
 Vectors that are equal component by component are one point with a count, so a vector that a third
-of all rows share is one point. Centroids are fitted on a bounded sample; every point is then
-assigned. A point is compared within its own cell and within each other cell whose border it is
-near: for a partner at the threshold on the far side of the border the two dot products differ by
-at most sin(angle) * |c1 - c2|. That bound is exact and finds every link. A ``margin`` follows only
-so many standard deviations of vectors that spread alike in all dimensions, and loses links of others.
-Inside a cell, points are dealt into blocks (more for a fuller cell) and blocks are compared with double-precision matrix
-products, whose matches turn into counts and spanning links at once; pairs aren't listed.
+of all rows share is one point. Vectors of each length are compared among themselves. Centroids are fitted
+on a bounded sample; every point is then assigned. A point is compared within its own cell and within each
+other cell whose border it is near: for a partner at the threshold on the far side of the border the two
+dot products differ by at most sin(angle) * |c1 - c2|. That bound is exact and finds every link. A ``margin``
+follows only so many standard deviations of vectors that spread alike in all dimensions, and loses links of
+others. Both the points of a cell and those that ask there are dealt into blocks, more for a fuller cell, so
+a task holds one block of each whatever the size of the cell. Blocks are compared with double-precision
+matrix products, whose matches turn into counts and spanning links at once; pairs aren't listed.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SAMPLE = 20_000
 CELLS = 4096
 #: Points that a cell should have on average.
 CELL_SIZE = 1000
-#: Points of a cell that one block holds, about.
+#: Points of a cell, and points that ask there, that one block holds, about.
 BLOCK = 4000
 
 Key = tuple[pa.Scalar, ...]
@@ -36,7 +37,7 @@ def unit_matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     """The rows of a list column as unit vectors in double precision, and which rows have one.
 
     Rows that are null, empty, zero, not finite or with a null component have none, and neither have
-    rows of another length than most.
+    rows of another length than most; callers give rows of one length.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -73,28 +74,75 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
     return centers
 
 
-def _assign(centers: np.ndarray, threshold: float, margin: float | None, blocks: np.ndarray):
-    base = np.cumsum(blocks) - blocks
-    gaps = np.sqrt(np.maximum(0, 2 - 2 * centers @ centers.T)) * np.sqrt(max(0.0, 1 - threshold * threshold))
-    if margin is not None:
-        gaps *= min(1.0, margin / np.sqrt(centers.shape[1]))
+class Cells:
+    """The cells of the vectors of one length: centroids, and the blocks of each cell. Task numbers begin at base."""
+
+    def __init__(self, centers: np.ndarray, threshold: float, margin: float | None) -> None:
+        self.centers = centers
+        self.gaps = np.sqrt(np.maximum(0, 2 - 2 * centers @ centers.T)) * np.sqrt(max(0.0, 1 - threshold * threshold))
+        if margin is not None:
+            self.gaps *= min(1.0, margin / np.sqrt(centers.shape[1]))
+
+    def asked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, the row's own cell?) of all cells that rows are compared in."""
+        dots = x @ self.centers.T
+        home = dots.argmax(axis=1)
+        row, cell = np.nonzero(dots[np.arange(len(dots)), home][:, None] - dots <= self.gaps[home] + 1e-12)
+        return row, cell, cell == home[row]
+
+    def deal(self, sample: np.ndarray, n: int, base: int) -> int:
+        """Set how many blocks each cell has for its points and for those that ask there; the next base."""
+        own, all_ = np.zeros(len(self.centers)), np.zeros(len(self.centers))
+        for a in range(0, len(sample), 2048):
+            _, cell, at_home = self.asked(sample[a : a + 2048])
+            own += np.bincount(cell[at_home], minlength=len(own))
+            all_ += np.bincount(cell, minlength=len(own))
+        self.stand, self.ask = (np.maximum(1, np.round(c * n / max(1, len(sample)) / BLOCK)).astype(np.int64) for c in (own, all_))
+        tasks = self.stand * self.ask
+        self.base = base + np.cumsum(tasks) - tasks
+        return base + int(tasks.sum())
+
+    def tasks(self, x: np.ndarray, point: np.ndarray):
+        """(row, task, asks, stands): a point asks all blocks of a cell, and stands in one of its own cell's."""
+        row, cell, at_home = self.asked(x)
+        stand, ask = self.stand[cell], self.ask[cell]
+        mine, block = point[row] % stand, (point[row] >> 20) % ask
+
+        def each(counts):
+            r = np.repeat(np.arange(len(row)), counts)
+            return r, np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+        r, s = each(stand)
+        own, o = each(np.where(at_home, ask, 0))
+        own, o = own[o != block[own]], o[o != block[own]]
+        task = np.concatenate([self.base[cell[r]] + s * ask[r] + block[r], self.base[cell[own]] + mine[own] * ask[own] + o])
+        asks = np.concatenate([np.ones(len(r), bool), np.zeros(len(own), bool)])
+        stands = np.concatenate([at_home[r] & (s == mine[r]), np.ones(len(own), bool)])
+        return np.concatenate([row[r], row[own]]), task, asks, stands
+
+
+def _assign(cells):
+    def rows(batch, at, task, asks, stands):
+        take = pa.array(at)
+        return pa.record_batch([pa.array(task, pa.int64()), batch.column("point").take(take), batch.column("size").take(take), pa.array(asks), pa.array(stands), batch.column("embedding").take(take)], ["task", "point", "size", "asks", "stands", "embedding"])
 
     def assign(batches):
+        by_width = cells.value
         for batch in batches:
-            x, _ = unit_matrix(batch.column("embedding"))
-            point, size = batch.column("point").to_numpy(), batch.column("size").to_numpy()
-            for a in range(0, len(x), 2048):
-                dots = x[a : a + 2048] @ centers.T
-                home = dots.argmax(axis=1)
-                row, cell = np.nonzero(dots[np.arange(len(dots)), home][:, None] - dots <= gaps[home] + 1e-12)
-                at_home = cell == home[row]
-                # A point is asked about in every block of a cell, and stands in one block of its own.
-                each = blocks[cell]
-                r, cell, at_home = (np.repeat(v, each) for v in (row, cell, at_home))
-                nth = np.arange(len(r)) - np.repeat(np.cumsum(each) - each, each)
-                stands = (nth == point[a + r] % blocks[cell]) & at_home
-                vectors = batch.column("embedding").take(pa.array(a + r))
-                yield pa.record_batch([pa.array(base[cell] + nth, pa.int64()), pa.array(point[a + r]), pa.array(size[a + r]), pa.array(stands), vectors], ["block", "point", "size", "stands", "embedding"])
+            width, point = batch.column("width").to_numpy(), batch.column("point").to_numpy()
+            for w in np.unique(width).tolist():
+                of = np.flatnonzero(width == w)
+                if w not in by_width:
+                    # So few points of this length that they are one task.
+                    yield rows(batch, of, np.full(len(of), -w), np.ones(len(of), bool), np.ones(len(of), bool))
+                    continue
+                for a in range(0, len(of), 2048):
+                    here = of[a : a + 2048]
+                    x, _ = unit_matrix(batch.column("embedding").take(pa.array(here)))
+                    row, task, asks, stands = by_width[w].tasks(x, point[here])
+                    for b in range(0, len(row), 1 << 14):
+                        p = slice(b, b + (1 << 14))
+                        yield rows(batch, here[row[p]], task[p], asks[p], stands[p])
 
     return assign
 
@@ -102,11 +150,12 @@ def _assign(centers: np.ndarray, threshold: float, margin: float | None, blocks:
 def _compare(threshold: float):
     def compare(key: Key, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("point")
-        point, size, stands = (rows[c].to_numpy(zero_copy_only=False) for c in ("point", "size", "stands"))
+        point, size, asks, stands = (rows[c].to_numpy(zero_copy_only=False) for c in ("point", "size", "asks", "stands"))
         x, _ = unit_matrix(rows["embedding"])
         out = ([], [], [])
         base, weight = x[stands], size[stands]
         there = point[stands]
+        x, point = x[asks], point[asks]
         group = {p: i for i, p in enumerate(there.tolist())}
         parent = np.arange(len(there))
         for a in range(0, len(x), 1024):
@@ -134,11 +183,13 @@ def _compare(threshold: float):
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors with cosine >= ``threshold`` are linked. Null and zero vectors, and those with null or
-    non-finite components or of an unusual length, link with nothing: their component is their own
-    id. Equal vectors are linked to each other. Rows with equal ids count as so many vectors; a null
-    id gives a null component unless it links to others. Other columns, labels too, are ignored; an
-    empty table gives none.
+    Vectors with cosine >= ``threshold`` are linked; vectors of different lengths have none and aren't.
+    Null, empty and zero vectors, and those with null or non-finite components link with nothing: their
+    component is their own id. Equal vectors are linked to each other. Rows with equal ids count as so many
+    vectors; a null id gives a null component unless it links to others. Other columns, labels too, are
+    ignored; an empty table gives none.
+
+    Collected: a sample of at most SAMPLE vectors for each length that more than CELL_SIZE vectors have.
     """
     spark = ready(vectors.sparkSession)
     # Vectors travel in the type they are stored in; products are in double precision.
@@ -149,17 +200,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = rows.withColumn("print", F.when(sound, F.xxhash64("embedding")))
     # Points are known by a hash of their components; the vector itself keeps equal hashes apart.
     points = cut(rows.where("print is not null").groupBy("print", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")).withColumn("point", F.xxhash64("embedding", F.lit(1))))
-    n = points.count()
+    points = points.withColumn("width", F.size("embedding"))
+    widths = points.groupBy("width").agg(F.count("*").alias("n")).where(F.col("n") > CELL_SIZE).orderBy("width").collect()
     alone = rows.where("print is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not n:
-        return alone.withColumn("kept", F.lit(True))
-    drawn = points.orderBy("point").limit(SAMPLE).select("embedding").toArrow()
-    x, good = unit_matrix(drawn["embedding"])
-    centers = spherical_kmeans(x[good], min(CELLS, max(1, n // CELL_SIZE)))
-    share = np.bincount((x[good] @ centers.T).argmax(axis=1), minlength=len(centers)) / good.sum()
-    blocks = np.maximum(1, np.round(share * n / BLOCK)).astype(np.int64)
-    dealt = points.select("point", "size", "embedding").mapInArrow(_assign(centers, threshold, margin, blocks), f"block long, point long, size long, stands boolean, embedding {kind}")
-    found = cut(dealt.groupBy("block").applyInArrow(_compare(threshold), "point long, links long, others array<long>"))
+    cells, base = {}, 0
+    for width, n in widths:
+        x, _ = unit_matrix(points.where(F.col("width") == width).orderBy("point").limit(SAMPLE).select("embedding").toArrow()["embedding"])
+        cells[width] = Cells(spherical_kmeans(x, min(CELLS, n // CELL_SIZE)), threshold, margin)
+        base = cells[width].deal(x, n, base)
+    dealt = points.select("point", "size", "width", "embedding").mapInArrow(_assign(spark.sparkContext.broadcast(cells)), f"task long, point long, size long, asks boolean, stands boolean, embedding {kind}")
+    found = cut(dealt.groupBy("task").applyInArrow(_compare(threshold), "point long, links long, others array<long>"))
     degree = found.groupBy("point").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("point").alias("src"), F.explode("others").alias("dst")).distinct())
     known = (

@@ -359,3 +359,34 @@ def test_vectors_of_few_effective_dimensions_in_many_cells(spark, monkeypatch):
     got = sorted(map(tuple, embeddings.near_duplicate_vectors(df).collect()))
     found, links = sum(r[1] for r in got), int(near.sum())
     assert got == [(i, int(near[i].sum()), root[i], root[i] == i) for i in range(len(x))], f"{found} of {links} links"
+
+
+def brute_vectors(rows):
+    """(vec_id, n_links, component_id, kept) of each row, by the vectors of each length."""
+    near = np.zeros((len(rows), len(rows)), bool)
+    for w in {len(e) for _, e in rows if e}:
+        at = [i for i, (_, e) in enumerate(rows) if e and len(e) == w and None not in e and np.isfinite(e).all() and any(e)]
+        x = np.array([rows[i][1] for i in at], float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near[np.ix_(at, at)] = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = roots(len(rows), np.argwhere(near).tolist())
+    least = {}
+    for r, (i, _) in zip(root, rows):
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    return sorted(((i, int(near[k].sum()), least[root[k]], i == least[root[k]]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("block", [7, 4000])
+def test_vectors_of_several_lengths_with_null_and_repeated_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "CELL_SIZE", 30)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    rows = []
+    for k, (width, n) in enumerate(((16, 100), (8, 90), (3, 12), (1, 3))):
+        x = rng.normal(size=(n, width))
+        x[n // 2 :] = x[: n - n // 2] + rng.normal(size=(n - n // 2, width)) * 0.15
+        rows += [(1000 * k + i, e) for i, e in enumerate(x.astype(np.float32).tolist())]
+    rows += [(None, rows[0][1]), (None, [0.0] * 16), (1, rows[1][1]), (1, rows[2][1]), (5000, []), (5001, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(16)
+    assert sorted(map(tuple, embeddings.near_duplicate_vectors(df).collect()), key=str) == brute_vectors(rows)
