@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import lines, quality
+from folioflow.llm import lines, pieces, quality
 
 #: Windows of 50 bytes as hexadecimal strings; a byte goes if a repeated window covers it.
 SUBSTRINGS = """
@@ -80,4 +80,5 @@ ORACLES = {
     "op7_passage_dedup": PASSAGES,
     "op8_line_dedup": lines.ORACLE,
     "op9_quality_rules": _quality(),
+    "sentencepiece_decode": pieces.DECODED,
 }

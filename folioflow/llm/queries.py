@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "sentencepiece_decode": pieces.sentencepiece_decode,
 }
 
 #: DuckDB SQL where a query can be expressed in it at the cost of its tables.

@@ -4,19 +4,24 @@ A segmentation is a word's BPE encoding exactly if each two neighbouring tokens
 the encoding of their concatenation. So the last token of every prefix follows from those of shorter
 prefixes: it is the one token that ends there and is compatible with the last token of the prefix
 before it. One pass gives the token count of every prefix of a word; running sums over a text's words
-give it for every prefix of the text, and counts, truncation and budgets are look-ups.
+give it for every prefix of the text, and counts, truncation and budgets are look-ups (``prefix_counts``,
+``truncate_to``, ``within_budget``).
+
+What a word is follows from Unicode tables, which differ between versions. Texts of Latin letters, marks
+and general punctuation, where they don't, are composed, lower-cased and matched here; all others by the
+tokenizer library's own tables.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +35,10 @@ LIMIT = 2048
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: the word pattern of the vocabulary file, with white space spelled out.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+"
+#: A character outside of the blocks whose tables every version shares.
+OTHER = re.compile("[^\x00-\u02ff\u2010-\u2027]")
+#: Words of more characters than this are counted where they are found and not remembered.
+LONG = 64
 
 
 def byte_letters() -> list[str]:
@@ -54,6 +63,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.letters = byte_letters()
         self.word = regex.compile(WORD)
+        self.normalizer, self.splitter = _library(path, spec)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.plain, self.final = {}, {}
         for token in self.vocab:
@@ -69,7 +79,7 @@ class PrefixCounter:
         #: Rank, left and right part of the merge that makes a token.
         self.made = {a + b: (i, a, b) for (a, b), i in reversed(self.rank.items())}
         self.fits = lru_cache(1 << 18)(self._fits)
-        self.counts = Memo(self._count_word)
+        self.counts = Memo(self._count_word, longest=LONG)
 
     def _merged(self, parts: list[str]) -> list[str]:
         rank = self.rank
@@ -148,9 +158,12 @@ class PrefixCounter:
         composed (NFC), lower-cased letter by letter and matched."""
         pieces = self.cut.split(text) if self.cut else [text]
         for piece in pieces:
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-            yield self.word.findall(piece.lower())
+            if piece.isascii():
+                yield self.word.findall(piece.lower())
+            elif OTHER.search(piece):
+                yield [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
+            else:
+                yield self.word.findall(unicodedata.normalize("NFC", piece).lower())
 
     def count(self, text: str | None) -> int:
         total = -1
@@ -158,13 +171,36 @@ class PrefixCounter:
             total += 1 + sum(map(self.counts.__getitem__, words))
         return total
 
-    def running(self, text: str) -> list[int]:
-        """The token count after each word of a text without special strings, 0 first."""
-        return list(accumulate(map(self.counts.__getitem__, next(iter(self.words(text)))), initial=0))
+    def running(self, text: str | None) -> list[int]:
+        """The token count after each item of a text, 0 first. Items are its words and special strings."""
+        out = [0]
+        for k, words in enumerate(self.words(text or "")):
+            if k:
+                out.append(out[-1] + 1)
+            for w in words:
+                out.append(out[-1] + self.counts[w])
+        return out
+
+    def items(self, text: str | None) -> list[str]:
+        """The items of ``running``: special strings as they are, words composed and lower-cased."""
+        special, out = iter(self.cut.findall(text or "") if self.cut else ()), []
+        for k, words in enumerate(self.words(text or "")):
+            if k:
+                out.append(next(special))
+            out += words
+        return out
+
+    def longest_fit(self, text: str | None, budget: int) -> int:
+        """How many whole items of a text fit into ``budget`` tokens: a search in the running counts."""
+        return max(0, bisect_right(self.running(text), budget) - 1)
+
 
-    def longest_fit(self, text: str, budget: int) -> int:
-        """How many whole words of a text fit into ``budget`` tokens: a search in the running counts."""
-        return bisect_right(self.running(text), budget) - 1
+def _library(path: str, spec: dict):
+    """The normalizer and the splitter of a vocabulary file, as the tokenizer library has them."""
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    return Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
 
 
 @lru_cache(4)
@@ -172,16 +208,19 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def _count(path: str):
+def _mapped(docs: DataFrame, id_col: str, text_col: str, model: str | None, columns: list[tuple[str, str, pa.DataType]], make) -> DataFrame:
+    """(doc_id, columns) with what ``make(counter, text)`` gives for each text."""
+    ready(docs.sparkSession)
+    path = model or token_file(MODEL)
+
     def run(batches):
-        model = counter(path)
+        known = counter(path)
         for batch in batches:
-            text = batch.column(1)
-            n = [model.count(t) for t in text.to_pylist()]
-            size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
-            yield pa.record_batch([batch.column(0), size, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            found = list(zip(*(make(known, t) for t in batch.column(1).to_pylist()))) or [()] * len(columns)
+            yield pa.record_batch([batch.column(0), *(pa.array(x, kind) for x, (_, _, kind) in zip(found, columns))], ["doc_id", *(name for name, _, _ in columns)])
 
-    return run
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return asked.mapInArrow(run, "doc_id long, " + ", ".join(f"{name} {kind}" for name, kind, _ in columns))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -190,11 +229,41 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text has none; repeated rows are counted each; other columns are ignored; an empty table
     gives none. ``model`` is the path of a vocabulary file, which every executor must have.
     """
-    ready(docs.sparkSession)
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = asked.mapInArrow(_count(model or token_file(MODEL)), "doc_id long, n_bytes long, n_tokens long")
+    make = lambda known, text: (len((text or "").encode()), known.count(text))
+    counted = _mapped(docs, id_col, text_col, model, [("n_bytes", "long", pa.int64()), ("n_tokens", "long", pa.int64())], make)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """(doc_id, running): the token count after each item (word or special string) of a text, 0 first, so
+    running[k] tokens are the encoding of the first k items. Null and empty text: [0]; repeated rows stay."""
+    return _mapped(docs, id_col, text_col, model, [("running", "array<int>", pa.list_(pa.int32()))], lambda known, text: (known.running(text),))
+
+
+def within_budget(counted: DataFrame, budget: int, running_col: str = "running") -> DataFrame:
+    """``counted`` (with the column of ``prefix_counts``) and n_items, n_tokens, fits (all items fit into
+    ``budget`` tokens), budget_items and budget_tokens (of the longest prefix that does). Look-ups in the
+    stored counts: nothing is encoded. A null column gives nulls."""
+    r = F.col(running_col)
+    inside = F.size(F.filter(r, lambda n: n <= budget))
+    total = F.element_at(r, -1)
+    return counted.withColumns({
+        "n_items": F.when(r.isNotNull(), F.size(r) - 1), "n_tokens": total, "fits": total <= budget,
+        "budget_items": F.when(r.isNotNull(), F.greatest(F.lit(0), inside - 1)), "budget_tokens": F.when(inside > 0, F.element_at(r, inside)).when(r.isNotNull(), 0),
+    })
+
+
+def truncate_to(docs: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """(doc_id, items, n_tokens): the longest prefix of each text, in whole items (words as the vocabulary
+    sees them, composed and lower-cased), that has at most ``budget`` tokens, and its tokens. Null text: none."""
+
+    def make(known, text):
+        running = known.running(text)
+        n = max(0, bisect_right(running, budget) - 1)
+        return known.items(text)[:n], running[n]
+
+    return _mapped(docs, id_col, text_col, model, [("items", "array<string>", pa.list_(pa.string())), ("n_tokens", "long", pa.int64())], make)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))

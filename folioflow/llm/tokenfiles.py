@@ -16,15 +16,20 @@ def token_file(name: str, home: str | None = None) -> str:
         return public_tokenizers.path(name)
     return os.path.join(HOME, name)
 
+
+
 class Memo(dict):
     """What ``make`` gives for a key, remembered for ``most`` keys at a time; missing keys are made on
-    access, so ``map(memo.__getitem__, keys)`` runs without Python code on hits."""
+    access, so ``map(memo.__getitem__, keys)`` runs without Python code on hits. Keys of more than
+    ``longest`` characters are made anew each time, so the memory is bounded in bytes, too."""
 
-    def __init__(self, make, most: int = 1 << 19, seed: dict | None = None) -> None:
+    def __init__(self, make, most: int = 1 << 19, seed: dict | None = None, longest: int = 64) -> None:
         super().__init__(seed or {})
-        self.make, self.most, self.seed = make, most, seed or {}
+        self.make, self.most, self.seed, self.longest = make, most, seed or {}, longest
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most + len(self.seed):
             self.clear()
             self.update(self.seed)

@@ -49,6 +49,50 @@ def test_counts_equal_the_library(spark, docs):
     assert tokencounts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_every_code_point_is_counted_as_the_library_does():
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(token_file(tokencounts.MODEL))
+    model = tokencounts.PrefixCounter(token_file(tokencounts.MODEL))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"x{c}y {c}" for c in every[a : a + 50]) for a in range(0, len(every), 50)]
+    rng = random.Random(5)
+    odd = [c for a, b in ((0, 0x3000), (0xA700, 0xAC20), (0xF900, 0x10000), (0x1D400, 0x1F000)) for c in map(chr, range(a, b)) if not 0xD800 <= ord(c) < 0xE000]
+    texts += ["".join(rng.choice(odd) for _ in range(40)) for _ in range(4000)]
+    texts += ["a\ua7cb b", "\ua7dc", "\u058c\uac00", "\xa8\u058b", "e\u0301 E\u0301", "\u212b", "a\x85b\x1cc\u3000d"]
+    for text, n in zip(texts, lib.encode_batch_fast(texts, add_special_tokens=False)):
+        assert model.count(text) == len(n.ids), text
+
+
+def test_prefix_counts_answer_budgets(spark, docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(token_file(tokencounts.MODEL))
+    text = "The quick <|endoftext|> brown INTERNATIONALIZATION of été"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \n"), (1, text)], "doc_id long, text string").withColumn("running", F.lit("x"))
+    found = tokencounts.prefix_counts(rows)
+    got = sorted(map(tuple, tokencounts.within_budget(found, 6).select("doc_id", "n_items", "n_tokens", "fits", "budget_items", "budget_tokens").collect()))
+    total = len(lib.encode(text, add_special_tokens=False).ids)
+    assert got == [(1, 7, total, False, 5, 6)] * 2 + [(i, 0, 0, True, 0, 0) for i in (2, 3, 4)]
+    cut = {r.doc_id: r for r in tokencounts.truncate_to(rows, 6).collect()}
+    assert cut[1]["items"] == ["the", "quick", "<|endoftext|>", "brown", "internationalization"] and cut[1].n_tokens == 6 and cut[2]["items"] == []
+    whole = tokencounts.within_budget(tokencounts.prefix_counts(docs), 2048).join(tokencounts.token_counts(docs).withColumnRenamed("n_tokens", "n"), "doc_id")
+    assert whole.where("n <> n_tokens or fits = over_limit or budget_tokens > 2048").count() == 0
+    assert tokencounts.within_budget(found, -1).where("budget_items <> 0 or budget_tokens <> 0").count() == 0
+    assert tokencounts.truncate_to(rows.limit(0), 5).count() == 0 == tokencounts.prefix_counts(rows.limit(0)).count()
+
+
+def test_memo_keeps_no_long_words():
+    memo = tokencounts.Memo(len, most=2, longest=5)
+    assert [memo[k] for k in ("a", "bb", "long word", "a")] == [1, 2, 9, 1] and set(memo) == {"a", "bb"}
+    assert memo["ccc"] == 3 and set(memo) == {"ccc"}
+
+
+def test_decoded_tokens_are_the_texts(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = sorted(map(tuple, pieces.sentencepiece_decode(spark, SF).select("doc_id", "n_chars", "text_sha256").collect()))
+    assert got == sorted(con.execute(oracles.ORACLES["sentencepiece_decode"]).fetchall())
+
+
 def test_pieces_equal_the_library_and_round_trip(spark, docs):
     spm = pytest.importorskip("sentencepiece")
     lib = spm.SentencePieceProcessor(model_file=token_file(pieces.MODEL))
