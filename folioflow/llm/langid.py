@@ -20,11 +20,10 @@ from pyspark.sql.window import Window
 from folioflow.llm.runtime import ready, table
 from folioflow.llm.symbols import SLICE, Texts
 
-#: Labelled texts for the fit: at most so many a language, and fewer where there are more than LANGS
-#: languages, but one at least. They are drawn by a hash of their ids from those of at most FIT_BYTES;
-#: where those are too few longer ones follow, the shortest first, while the language's texts before
-#: them are below PER_LANG * FIT_BYTES in all.
-PER_LANG, FIT_BYTES, LANGS = 300, 20_000, 200
+#: Labelled texts for the fit: at most so many a language and SAMPLE_BYTES in all, shared evenly by the
+#: languages, but one text of each at least. They are drawn by a hash of their ids from those of at most
+#: FIT_BYTES; where those are too few longer ones follow, the shortest first.
+PER_LANG, FIT_BYTES, SAMPLE_BYTES = 300, 20_000, 64 << 20
 #: Landmarks in all; they are spread evenly over the languages.
 LANDMARKS = 128
 RIDGE = 1e-2
@@ -104,13 +103,14 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     used = np.flatnonzero(seen)
     columns = np.full(TABLE + 256, len(used), np.int32)
     columns[used] = np.arange(len(used))
-    rows = []
-    for a in range(0, len(texts), BATCH):
-        x = presence(Texts.of(column[a : a + BATCH]), columns, len(used)).astype(np.float32)
-        rows.append((x / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]).astype(np.float32))
-    x = np.concatenate(rows)
-    landmarks = np.ascontiguousarray(x[marks].T)
-    k = (x @ landmarks).astype(np.float64)
+
+    def unit(part: pa.Array) -> np.ndarray:
+        x = presence(Texts.of(part), columns, len(used)).astype(np.float32)
+        return x / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
+
+    # Only the landmarks' presence stays; other texts leave their kernels with them.
+    landmarks = np.ascontiguousarray(unit(column.take(pa.array(marks))).T)
+    k = np.concatenate([unit(column[a : a + BATCH]) @ landmarks for a in range(0, len(texts), BATCH)]).astype(np.float64)
     value, vector = np.linalg.eigh(k[marks])
     keep = value > 1e-6 * value.max()
     white = vector[:, keep] / np.sqrt(value[keep])
@@ -130,13 +130,13 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, la
     if langs is not None:
         known = known.orderBy(F.desc("count"), "lang").limit(langs)
         learn = learn.join(F.broadcast(known.select("lang")), "lang")
-    each = min(PER_LANG, max(1, PER_LANG * LANGS // max(1, known.count())))
+    share = SAMPLE_BYTES // max(1, known.count())
     # Ranks are cut before and after the shuffle.
     by = Window.partitionBy("lang").orderBy("longer", "draw", "id")
     longer = F.when(F.col("size") > FIT_BYTES, F.col("size")).otherwise(0)
-    ranked = learn.withColumns({"draw": F.xxhash64("id", "text"), "longer": longer}).withColumn("n", F.row_number().over(by)).where(F.col("n") <= each)
+    ranked = learn.withColumns({"draw": F.xxhash64("id", "text"), "longer": longer}).withColumn("n", F.row_number().over(by)).where(F.col("n") <= PER_LANG)
     before = F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    return ranked.withColumn("before", before).where(F.col("before") < PER_LANG * FIT_BYTES).select("lang", "n", "text")
+    return ranked.withColumn("before", before).where((F.col("n") == 1) | (F.col("before") + F.col("size") <= share)).select("lang", "n", "text")
 
 
 def _predict(model):
@@ -167,7 +167,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     The fit takes text and non-null language of documents whose crc32 of the id, as text, is not 2
     modulo 4, of every language or of the ``langs`` most frequent; the others (held_out) and rows with a null id are only predicted. A null text and one
     without a letter are ``und`` with score 0, as is everything where nothing can be learned. Scores
-    look at the whole text only, so equal texts are predicted alike. An empty table gives none.
+    look at the whole text only, so equal texts are predicted alike. Of texts with equal ids some are learned
+    or all. An empty table gives none. Collected: the sample, SAMPLE_BYTES and one text a language at most.
     """
     spark = ready(docs.sparkSession)
     id_text = F.col(id_col).cast("string").cast("binary")

@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,8 +240,49 @@ def test_language_id(spark, docs):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_scores_against_plain_kernels():
+    # The kernel, the whitened landmarks and the ridge regression, written out with sets and solve.
+    rng = random.Random(21)
+    some = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(25))
+    texts = [some(letters) for letters in ("abcd", "bcde", "xyza") for _ in range(10)]
+    labels = [x for x in ("p", "q", "r") for _ in range(10)]
+    model = langid.fit(texts, labels)
+
+    def grams(t):
+        b = re.sub(rb"[\x00-\x20\x30-\x39]", b" ", t.encode().lower())
+        return {(n, b[i : i + n]) for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    marks = [i for x in ("p", "q", "r") for i in range(30) if labels[i] == x][: 3 * (langid.LANDMARKS // 3)]
+    seen = set().union(*(grams(texts[i]) for i in marks))
+    sets = [grams(t) & seen for t in [*texts, some("abcd"), some("xyza")]]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    value, vector = np.linalg.eigh(k[marks])
+    keep = value > 1e-6 * value.max()
+    z = k @ (vector[:, keep] / np.sqrt(value[keep]))
+    y = np.array([[x == w for w in ("p", "q", "r")] for x in labels], float)
+    fitted = z[:30]
+    want = z @ np.linalg.solve(fitted.T @ fitted / 10 + langid.RIDGE * np.eye(z.shape[1]), fitted.T @ y / 10)
+    got = model.scores(langid.Texts.of(pa.array([*texts, ""])))
+    assert np.abs(got[:30] - want[:30]).max() < 2e-3 and got[30].tolist() == [0, 0, 0]
+
+
+def test_the_fit_of_many_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 40_000)
+    rows = [(i, f"text {i} " * 100, f"l{i % 40}") for i in range(4000)]
+    sample = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()
+    assert len({r.lang for r in sample}) == 40 and sum(len(r.text) for r in sample) <= 40_000 + 40 * 1000
+
+
+def test_language_id_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "some words here", "en"), (1, "some words here", "en"), (1, "andere worte", "de"), (None, "some words", None), (None, "some words", None), (3, None, "en"), (8, "andere worte da", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"held_out": F.lit(1), "score": F.lit("x"), "lang_pred": F.lit("y")})
+    got = langid.identify(df).collect()
+    assert len(got) == 7 and len({(r.lang_pred, r.score) for r in got if r.doc_id is None}) == 1 and all(r.held_out is not None for r in got)
+
+
 def test_languages_of_long_texts_only_and_of_more_than_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGS", 2)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 30_000)
     rng = random.Random(11)
     some = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
     rows = [(i, some("abcde", 40), "aa") for i in range(40)] + [(100 + i, some("fghij", 40), "bb") for i in range(40)] + [(200 + i, some("klmno", 4000), "cc") for i in range(8)]
