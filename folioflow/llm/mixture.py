@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Sequence
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from folioflow.llm.runtime import cut, ready, table
 WEIGHTS = (5, 2, 1)
 #: A document is taken this many times at most.
 REPEATS = 3
-#: Documents that a shard of a source should hold, and shards of a source, at most.
-SHARD_DOCS, SHARDS = 2000, 1024
+#: Documents that a shard of a source should hold; a source has as many shards as its documents fill.
+SHARD_DOCS = 5000
 #: Blocks that the whole mix is cut into, about: the apportionment's resolution.
 MIX_BLOCKS = 1 << 20
 SEED = 42
@@ -48,7 +49,8 @@ def sainte_lague(shares: Sequence[Fraction | int], seats: int, limits: Sequence[
     total = sum(shares)
     if not total:
         return [0] * len(shares)
-    given = [min(limit, max(0, int(Fraction(s) * seats / total) - 1)) for s, limit in zip(shares, limits)]
+    whole = Fraction(seats) / total
+    given = [min(limit, max(0, s * whole.numerator // whole.denominator - 1)) for s, limit in zip(shares, limits)]
     heap = [(-Fraction(s) / (2 * g + 1), i) for i, (s, g, limit) in enumerate(zip(shares, given, limits)) if s and g < limit]
     heapq.heapify(heap)
     for _ in range(seats - sum(given)):
@@ -61,51 +63,50 @@ def sainte_lague(shares: Sequence[Fraction | int], seats: int, limits: Sequence[
     return given
 
 
+Key = tuple[pa.Scalar, ...]
+
+
+def _apportion(key: Key, rows: pa.Table) -> pa.Table:
+    """The blocks of one source, dealt to its shards by highest quotients."""
+    rows = rows.sort_by("shard")
+    words, block, blocks = rows["words"].to_pylist(), rows["block"][0].as_py(), rows["blocks"][0].as_py()
+    each = sainte_lague(words, blocks, [REPEATS * w // block for w in words])
+    return pa.table({"of_source": rows["source"], "of_shard": rows["shard"], "shard_words": rows["words"], "wanted": pa.array([n * block for n in each], pa.int64())})
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, row, size, source_size, target, taken) for each row.
 
     size is the number of words of the whole text (null: 0). Sources, by code point with null last,
     have ``weights`` in turn and share all words; see ``targets``. The mix consists of blocks of
     equally many words: highest quotients give each source, and then each of its shards, an integer
-    number of blocks. A shard's documents are laid out in an order drawn by ``seed``; whole rounds
-    over the shard come first and the last round ends inside some document, so a document is taken
-    at most three times over and no source gets more than its target and one block. Reruns agree;
-    equal rows are told apart by nothing and may be cut alike. Empty tables give none.
+    number of blocks. A shard's documents are laid out in an order drawn by ``seed`` and cut into blocks
+    there; whole rounds over the shard come first and the last round takes the first blocks of the drawn
+    order, so a document is taken at most three times over and no source gets more than its target and one
+    block. Reruns agree; equal rows are told apart by nothing and may be cut alike. Empty tables give none.
 
-    Collected: one row for each source and shard, at most 1,024 a source.
+    Collected: one row for each source. Its shards are summed and apportioned in Spark, a source a task.
     """
     spark = ready(docs.sparkSession)
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("row"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
     )
-    drawn = F.xxhash64(F.lit(seed), "doc_id", "row")
-    sized = cut(sized.withColumn("draw", drawn).withColumn("shard", F.pmod("draw", F.lit(SHARDS))))
-    fine = sized.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()
-    by_source: dict[str | None, dict[int, list[int]]] = {}
-    for r in fine:
-        by_source.setdefault(r.source, {})[r.shard] = [r.words, r.docs]
+    sized = cut(sized.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "row")))
+    by_source = {r.source: (r.words, r.docs) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()}
     names = sorted(by_source, key=lambda s: (s is None, s or ""))
-    sizes = [sum(w for w, _ in by_source[s].values()) for s in names]
+    sizes = [by_source[s][0] for s in names]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
-    # Small sources' shards are merged until they hold enough documents; blocks are small against the
-    # mean shard of any source, so that rounding to blocks costs a source half a hundredth at most.
-    parts = [max(1, min(SHARDS, sum(d for _, d in by_source[name].values()) // SHARD_DOCS)) for name in names]
+    # Blocks are small against the mean shard of any source, so that rounding to blocks costs a source half
+    # a hundredth at most.
+    parts = [max(1, by_source[name][1] // SHARD_DOCS) for name in names]
     block = max(1, min([sum(sizes) // MIX_BLOCKS, *(s // (100 * n) for s, n in zip(sizes, parts) if s)]))
-    seats = int(sum(goal)) // block
-    quota = sainte_lague(goal, seats, [REPEATS * s // block for s in sizes])
-    plan = []
-    for name, size, target, blocks, n in zip(names, sizes, goal, quota, parts):
-        words = [0] * n
-        for shard, (w, _) in by_source[name].items():
-            words[shard % n] += w
-        each = sainte_lague(words, blocks, [REPEATS * w // block for w in words])
-        plan += [(name, n, k, words[k], each[k] * block, size, float(target)) for k in range(n)]
-    schema = "of_source string, shards int, of_shard int, shard_words long, wanted long, source_size long, target double"
-    plan_df = spark.createDataFrame(plan, schema)
-    counts = plan_df.select("of_source", "shards", "source_size", "target").distinct()
-    located = sized.join(counts, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("shard", F.pmod("shard", F.col("shards")).cast("int"))
-    wanted = plan_df.select("of_source", "of_shard", "shard_words", "wanted")
+    quota = sainte_lague(goal, int(sum(goal)) // block, [REPEATS * s // block for s in sizes])
+    schema = "of_source string, shards int, blocks long, block long, source_size long, target double"
+    counts = spark.createDataFrame([(name, n, blocks, block, size, float(target)) for name, n, blocks, size, target in zip(names, parts, quota, sizes, goal)], schema)
+    located = sized.join(counts, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("shard", F.pmod("draw", F.col("shards")).cast("int"))
+    shards = located.groupBy("source", "shard", "block", "blocks").agg(F.sum("size").alias("words"))
+    wanted = shards.groupBy("source").applyInArrow(_apportion, "of_source string, of_shard int, shard_words long, wanted long")
     located = located.join(wanted, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")))
     order = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "row")
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")

@@ -229,6 +229,44 @@ def test_mix(docs):
     assert mixture.mix(docs.limit(0)).count() == 0 == mixture.mixed_documents(docs.limit(0)).count()
 
 
+def test_taken_words_by_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixture, "SHARD_DOCS", 4)
+    rows = docs.unionAll(docs.limit(9)).unionAll(spark.createDataFrame([(None, "a b c", "en", None), (7000, None, None, None)], "doc_id long, text string, lang string, source string").withColumn("taken", F.lit(1)))
+    data = rows.select("doc_id", "source", F.xxhash64("text").alias("row"), F.xxhash64(F.lit(mixture.SEED), "doc_id", F.xxhash64("text")).alias("draw"), "text").collect()
+    by = collections.defaultdict(list)
+    for r in data:
+        by[r.source].append((r.draw, r.doc_id, r.row, len(WORD.findall(r.text or ""))))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(x[3] for x in by[s]) for s in names]
+    goal = mixture.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    parts = [max(1, len(by[s]) // 4) for s in names]
+    block = max(1, min([sum(sizes) // mixture.MIX_BLOCKS, *(s // (100 * n) for s, n in zip(sizes, parts) if s)]))
+
+    def highest(shares, seats, limits):
+        given = [0] * len(shares)
+        for _ in range(seats):
+            open_ = [i for i in range(len(shares)) if shares[i] and given[i] < limits[i]]
+            if not open_:
+                break
+            given[max(open_, key=lambda i: (Fraction(shares[i]) / (2 * given[i] + 1), -i))] += 1
+        return given
+
+    quota, want = mixture.sainte_lague(goal, int(sum(goal)) // block, [3 * s // block for s in sizes]), []
+    for name, n, blocks in zip(names, parts, quota):
+        shards = [sorted((x for x in by[name] if x[0] % n == k), key=lambda x: (x[0], x[1] is not None, x[1], x[2])) for k in range(n)]
+        shards = [x for x in shards if x]
+        words = [sum(x[3] for x in shard) for shard in shards]
+        each = highest(words, blocks, [3 * w // block for w in words]) if blocks < 3000 else mixture.sainte_lague(words, blocks, [3 * w // block for w in words])
+        for shard, w, b in zip(shards, words, each):
+            line = [d for d in shard for _ in range(d[3])]
+            taken = collections.Counter((line * 3)[: b * block])
+            want += [(d[1], d[3], taken[d] // shard.count(d) if shard.count(d) == 1 else None) for d in shard]
+    got = [(r.doc_id, r.size, r.taken) for r in mixture.mix(rows).collect()]
+    single = collections.Counter((a, b) for a, b, _ in want)
+    assert sorted((x for x in got if single[x[:2]] == 1), key=str) == sorted((x for x in want if single[x[:2]] == 1), key=str)
+    assert len(got) == len(want) and sum(x[2] for x in got) == sum(quota) * block
+
+
 def test_language_id(spark, docs):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.identify(d).join(d, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
