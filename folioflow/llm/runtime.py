@@ -15,8 +15,10 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and make sure a checkpoint folder is set.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is; only a session without one
-    (tests, notebooks) gets a folder of its own.
+    The folder named by ``spark.checkpoint.dir`` is used as it is; only a local session without one
+    (tests, notebooks) gets a folder of its own. On a cluster executors wouldn't see that folder, so there
+    a session without one is an error. Checkpoints go when their frames do under
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
@@ -24,6 +26,8 @@ def ready(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioflow-checkpoint-"))
     return spark
 

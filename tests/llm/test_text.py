@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import random
 import re
 from fractions import Fraction
@@ -229,42 +230,49 @@ def test_mix(docs):
     assert mixture.mix(docs.limit(0)).count() == 0 == mixture.mixed_documents(docs.limit(0)).count()
 
 
-def test_taken_words_by_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(mixture, "SHARD_DOCS", 4)
-    rows = docs.unionAll(docs.limit(9)).unionAll(spark.createDataFrame([(None, "a b c", "en", None), (7000, None, None, None)], "doc_id long, text string, lang string, source string").withColumn("taken", F.lit(1)))
+def highest(shares, seats, limits):
+    """Seats one by one to the highest quotient."""
+    given, heap = [0] * len(shares), [(-Fraction(s), i) for i, (s, limit) in enumerate(zip(shares, limits)) if s and limit]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        if not heap:
+            break
+        _, i = heapq.heappop(heap)
+        given[i] += 1
+        if given[i] < limits[i]:
+            heapq.heappush(heap, (-Fraction(shares[i]) / (2 * given[i] + 1), i))
+    return given
+
+
+def brute_mix(rows):
+    """(doc_id, text, size, words taken) of each row, and all words that are taken. Equal rows stand side by side."""
     data = rows.select("doc_id", "source", F.xxhash64("text").alias("row"), F.xxhash64(F.lit(mixture.SEED), "doc_id", F.xxhash64("text")).alias("draw"), "text").collect()
     by = collections.defaultdict(list)
     for r in data:
-        by[r.source].append((r.draw, r.doc_id, r.row, len(WORD.findall(r.text or ""))))
+        by[r.source].append((r.draw, r.doc_id, r.row, len(WORD.findall(r.text or "")), r.text))
     names = sorted(by, key=lambda s: (s is None, s or ""))
     sizes = [sum(x[3] for x in by[s]) for s in names]
     goal = mixture.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
-    parts = [max(1, len(by[s]) // 4) for s in names]
+    parts = [max(1, len(by[s]) // mixture.SHARD_DOCS) for s in names]
     block = max(1, min([sum(sizes) // mixture.MIX_BLOCKS, *(s // (100 * n) for s, n in zip(sizes, parts) if s)]))
-
-    def highest(shares, seats, limits):
-        given = [0] * len(shares)
-        for _ in range(seats):
-            open_ = [i for i in range(len(shares)) if shares[i] and given[i] < limits[i]]
-            if not open_:
-                break
-            given[max(open_, key=lambda i: (Fraction(shares[i]) / (2 * given[i] + 1), -i))] += 1
-        return given
-
-    quota, want = mixture.sainte_lague(goal, int(sum(goal)) // block, [3 * s // block for s in sizes]), []
+    quota, out = highest(goal, int(sum(goal)) // block, [3 * s // block for s in sizes]), []
     for name, n, blocks in zip(names, parts, quota):
         shards = [sorted((x for x in by[name] if x[0] % n == k), key=lambda x: (x[0], x[1] is not None, x[1], x[2])) for k in range(n)]
         shards = [x for x in shards if x]
         words = [sum(x[3] for x in shard) for shard in shards]
-        each = highest(words, blocks, [3 * w // block for w in words]) if blocks < 3000 else mixture.sainte_lague(words, blocks, [3 * w // block for w in words])
-        for shard, w, b in zip(shards, words, each):
-            line = [d for d in shard for _ in range(d[3])]
+        for shard, b in zip(shards, highest(words, blocks, [3 * w // block for w in words])):
+            line = [i for i, d in enumerate(shard) for _ in range(d[3])]
             taken = collections.Counter((line * 3)[: b * block])
-            want += [(d[1], d[3], taken[d] // shard.count(d) if shard.count(d) == 1 else None) for d in shard]
+            out += [(d[1], d[4], d[3], taken[i]) for i, d in enumerate(shard)]
+    return out, sum(quota) * block
+
+
+def test_taken_words_by_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixture, "SHARD_DOCS", 4)
+    rows = docs.unionAll(docs.limit(9)).unionAll(spark.createDataFrame([(None, "a b c", "en", None), (7000, None, None, None)], "doc_id long, text string, lang string, source string").withColumn("taken", F.lit(1)))
+    want, total = brute_mix(rows)
     got = [(r.doc_id, r.size, r.taken) for r in mixture.mix(rows).collect()]
-    single = collections.Counter((a, b) for a, b, _ in want)
-    assert sorted((x for x in got if single[x[:2]] == 1), key=str) == sorted((x for x in want if single[x[:2]] == 1), key=str)
-    assert len(got) == len(want) and sum(x[2] for x in got) == sum(quota) * block
+    assert sorted(got, key=str) == sorted(((i, size, taken) for i, _, size, taken in want), key=str) and sum(x[2] for x in got) == total
 
 
 def test_language_id(spark, docs):
@@ -329,6 +337,51 @@ def test_languages_of_long_texts_only_and_of_more_than_the_bound(spark, monkeypa
     assert {r.lang_pred for r in langid.identify(df, langs=2).collect()} == {"aa", "bb"}
 
 
+def test_pipeline_by_brute_force(spark):
+    """Every stage written out plainly, each on what the one before it left, down to the token ids."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    import corpus_pipeline as p
+
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", documents.toArrow())
+    good = {r[0] for r in con.execute(oracles.ORACLES["op9_quality_rules"]).fetchall() if r[-1]}
+    docs = sorted((r for r in documents.collect() if r.doc_id in good), key=lambda r: r.doc_id)
+    seen, texts = set(), {}
+    for r in docs:
+        lines = r.text.split("\n")
+        gone = set()
+        for i in range(len(lines) - 2):
+            w = tuple(lines[i : i + 3])
+            if WORD.search("".join(w)):
+                gone.update(range(i, i + 3) if w in seen else ())
+                seen.add(w)
+        texts[r.doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    shingles = {}
+    for i, t in texts.items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        shingles[i] = {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    group = {}
+    for i in texts:
+        if i not in group:
+            group[i], queue = i, [i]
+            while queue:
+                a = queue.pop()
+                for b in texts:
+                    both = len(shingles[a] & shingles[b])
+                    if b not in group and (5 * both >= 4 * (len(shingles[a]) + len(shingles[b]) - both)):
+                        group[b] = i
+                        queue.append(b)
+    left = spark.createDataFrame([(r.doc_id, texts[r.doc_id], r.lang, r.source, len(texts[r.doc_id])) for r in docs if group[r.doc_id] == r.doc_id], documents.schema)
+    library, want = sentencepiece.SentencePieceProcessor(model_file=token_file(pieces.MODEL)), []
+    for i, text, size, taken in brute_mix(left)[0]:
+        want += [(i, text)] * (taken // size if size else 0)
+        if size and taken % size:
+            want.append((i, text[: list(WORD.finditer(text))[taken % size - 1].end()]))
+    want = sorted((i, len(ids), ids) for i, ids in ((i, library.encode(t)) for i, t in want))
+    assert sorted((r.doc_id, r.n_tokens, r.token_ids) for r in p.run(spark, SF).collect()) == want and len(want) > 100
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
