@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.llm.runtime import ready, table
+from folioflow.llm.runtime import cut, ready, table
 from folioflow.llm.symbols import SLICE, Texts
 
 #: Labelled texts for the fit: at most so many a language and SAMPLE_BYTES in all, shared evenly by the
 #: languages, but one text of each at least. They are drawn by a hash of their ids from those of at most
 #: FIT_BYTES; where those are too few longer ones follow, the shortest first.
 PER_LANG, FIT_BYTES, SAMPLE_BYTES = 300, 20_000, 64 << 20
+#: Rows of a list of languages or of chosen texts that is broadcast, at most.
+LISTED = 1 << 16
 #: Landmarks in all; they are spread evenly over the languages.
 LANDMARKS = 128
 RIDGE = 1e-2
@@ -123,20 +125,29 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, langs: int | None = None) -> DataFrame:
-    """(lang, n, text): the bounded sample for the fit, of every language or of the ``langs`` most frequent."""
+    """(lang, n, text): the bounded sample for the fit, of every language or of the ``langs`` most frequent.
+
+    Texts are chosen by their numbers alone and fetched afterwards. A language with many texts of at most
+    FIT_BYTES first loses those whose draw is beyond five times the number that is wanted, which are never
+    chosen, so that one task ranks a language whatever its share. Equal texts of one id are learned once.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
     learn = rows.withColumn("size", F.octet_length("text")).where((F.crc32(F.col("id").cast("binary")) % 4 != 2) & (F.col("size") > 0))
-    known = learn.groupBy("lang").count()
+    learn = learn.withColumns({"draw": F.xxhash64("id", "text"), "longer": F.when(F.col("size") > FIT_BYTES, F.col("size")).otherwise(0)})
+    known = learn.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.count_if(F.col("longer") == 0).alias("short"))
     if langs is not None:
-        known = known.orderBy(F.desc("count"), "lang").limit(langs)
-        learn = learn.join(F.broadcast(known.select("lang")), "lang")
-    share = SAMPLE_BYTES // max(1, known.count())
-    # Ranks are cut before and after the shuffle.
+        known = known.orderBy(F.desc("n"), "of").limit(langs)
+    known = cut(known.select("of", "short"))
+    n = known.count()
+    within = F.col("draw") / 2.0**64 + 0.5 < 5.0 * PER_LANG / F.col("short")
+    light = learn.select("lang", "longer", "draw", "id", "size").join(F.broadcast(known) if n <= LISTED else known, F.col("lang") == F.col("of"))
+    light = light.where((F.col("short") < 5 * PER_LANG) | (F.col("longer") == 0) & within).select("lang", "longer", "draw", "id", "size").distinct()
     by = Window.partitionBy("lang").orderBy("longer", "draw", "id")
-    longer = F.when(F.col("size") > FIT_BYTES, F.col("size")).otherwise(0)
-    ranked = learn.withColumns({"draw": F.xxhash64("id", "text"), "longer": longer}).withColumn("n", F.row_number().over(by)).where(F.col("n") <= PER_LANG)
     before = F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    return ranked.withColumn("before", before).where((F.col("n") == 1) | (F.col("before") + F.col("size") <= share)).select("lang", "n", "text")
+    ranked = light.withColumn("n", F.row_number().over(by)).where(F.col("n") <= PER_LANG).withColumn("before", before)
+    chosen = cut(ranked.where((F.col("n") == 1) | (F.col("before") + F.col("size") <= SAMPLE_BYTES // max(1, n))).select("lang", "id", "draw", "n"))
+    few = F.broadcast(chosen) if n * PER_LANG <= LISTED else chosen
+    return learn.join(few, ["lang", "id", "draw"]).groupBy("lang", "n").agg(F.first("text").alias("text"))
 
 
 def _predict(model):
