@@ -39,7 +39,7 @@ WIDE, LIMIT_ANGLE, WIDE_RADIUS = 4, 0.152, 62
 #: Fingerprints of a shard that are compared all with all at once, at most.
 MATRIX = 1024
 #: Shard rows that one Python call holds, about.
-CALL_ROWS = 100_000
+CALL_ROWS = 1 << 14
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
