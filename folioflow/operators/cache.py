@@ -21,19 +21,24 @@ def misses(due: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 class RenderCache:
-    """Appends each new hash once; a read for given hashes prunes to their shards."""
+    """Appends each new hash once; a read for given hashes opens their shards only."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def read(self) -> DataFrame:
+    def read(self, asked: DataFrame | None = None) -> DataFrame:
+        """What is stored, or with ``asked`` (sha256) what its shards hold: as many as hash prefixes at most."""
         try:
-            return self.spark.read.schema(SCHEMA + ", shard string").parquet(self.folder)
+            stored = self.spark.read.schema(SCHEMA + ", shard string").parquet(self.folder)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], SCHEMA + ", shard string")
+        if asked is None:
+            return stored
+        shards = [r.shard for r in asked.select(C.cache_shard(F.col("sha256")).alias("shard")).where("shard is not null").distinct().collect()]
+        return stored.where(F.col("shard").isin(shards))
 
     def put(self, pages: DataFrame) -> None:
-        new = misses(pages, self.read()).select(*_COLUMNS, C.cache_shard(F.col("sha256")).alias("shard"))
+        new = misses(pages, self.read(pages)).select(*_COLUMNS, C.cache_shard(F.col("sha256")).alias("shard"))
         new.write.mode("append").partitionBy("shard").parquet(self.folder)

@@ -36,28 +36,45 @@ def render(due: DataFrame, renderer: Renderer) -> DataFrame:
     return due.select("rel", "sha256", "suffix", "content").mapInArrow(run, RENDERED)
 
 
+PROFILES = "rel string, page_no int, width double, height double, profile array<double>, error string"
+_PROFILES = pa.schema([("rel", pa.string()), ("page_no", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("profile", pa.list_(pa.float64())), ("error", pa.string())])
+CROPPED = "rel string, page_no int, segment long, page binary, error string"
+_CROPPED = pa.schema([("rel", pa.string()), ("page_no", pa.int32()), ("segment", pa.int64()), ("page", pa.binary()), ("error", pa.string())])
+
+
 def profiles(pages: DataFrame, renderer) -> DataFrame:
-    """(rel, page_no, width, height, profile): a page's size in points and the brightness of its pixel rows."""
+    """(rel, page_no, width, height, profile, error): a page's size in points and the brightness of its
+    pixel rows, or why there is none."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                width, height, rows = renderer.profile(row["page"])
-                yield pa.RecordBatch.from_pylist([{"rel": row["rel"], "page_no": row["page_no"], "width": float(width), "height": float(height), "profile": [float(x) for x in rows]}], pa.schema([("rel", pa.string()), ("page_no", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("profile", pa.list_(pa.float64()))]))
+                out = {"rel": row["rel"], "page_no": row["page_no"]}
+                try:
+                    width, height, rows = renderer.profile(row["page"])
+                    out |= {"width": float(width), "height": float(height), "profile": [float(x) for x in rows]}
+                except Exception as e:
+                    out["error"] = f"split: {e}"
+                yield pa.RecordBatch.from_pylist([out], _PROFILES)
 
-    return pages.select("rel", "page_no", "page").mapInArrow(run, "rel string, page_no int, width double, height double, profile array<double>")
+    return pages.select("rel", "page_no", "page").mapInArrow(run, PROFILES)
 
 
 def crop(pages: DataFrame, renderer) -> DataFrame:
-    """Pages of (rel, page_no, segment, top, bottom, page) cut out of their page; no segment: as they are."""
+    """(rel, page_no, segment, page, error) of (rel, page_no, segment, top, bottom, page): parts cut out of
+    their page; no segment: the page as it is."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                page = row["page"] if row["segment"] is None else renderer.crop(row["page"], row["top"], row["bottom"])
-                yield pa.RecordBatch.from_pylist([{"rel": row["rel"], "page_no": row["page_no"], "segment": row["segment"] or 0, "page": page}], pa.schema([("rel", pa.string()), ("page_no", pa.int32()), ("segment", pa.int64()), ("page", pa.binary())]))
+                out = {"rel": row["rel"], "page_no": row["page_no"], "segment": row["segment"] or 0}
+                try:
+                    out["page"] = row["page"] if row["segment"] is None else renderer.crop(row["page"], row["top"], row["bottom"])
+                except Exception as e:
+                    out["error"] = f"split: {e}"
+                yield pa.RecordBatch.from_pylist([out], _CROPPED)
 
-    return pages.select("rel", "page_no", "segment", "top", "bottom", "page").mapInArrow(run, "rel string, page_no int, segment long, page binary")
+    return pages.select("rel", "page_no", "segment", "top", "bottom", "page").mapInArrow(run, CROPPED)
 
 
 def transcribe(pages: DataFrame, transcriber: Transcriber) -> DataFrame:

@@ -53,44 +53,62 @@ def problems(state: DataFrame) -> DataFrame:
 
 
 class StateStore:
-    """Snapshots v=N under a folder; the pointer file names the current one. One writer at a time.
+    """Snapshots v=N under a folder, in order of rel; the pointer file names the current one. One writer at
+    a time.
 
-    A snapshot is complete before the pointer moves, so a pass that dies leaves the last state. The
-    folder may be in any store that Spark's Hadoop configuration reaches.
+    A snapshot is complete before the pointer is replaced, in one rename, so a pass that dies at any point
+    leaves the last state or the new one. Where there is no pointer although there are snapshots, the last
+    complete one counts. The folder may be in any store that Spark's Hadoop configuration reaches.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.folder).getFileSystem(self._conf)
         self._jvm = jvm
 
     def version(self) -> int:
         pointer = self._path(f"{self.folder}/CURRENT")
         if not self._fs.exists(pointer):
-            return 0
+            return self._last_complete()
         stream = self._fs.open(pointer)
         try:
             return int(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip())
         finally:
             stream.close()
 
+    def _last_complete(self) -> int:
+        if not self._fs.exists(self._path(self.folder)):
+            return 0
+        names = (f.getPath() for f in self._fs.listStatus(self._path(self.folder)))
+        return max((int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and self._fs.exists(self._path(p, "_SUCCESS"))), default=0)
+
     def read(self) -> DataFrame:
         """The current state; none at all is an empty one, an unreadable one is an error."""
         n = self.version()
         return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/v={n}") if n else empty(self.spark)
 
-    def commit(self, state: DataFrame, keep: int = 3) -> int:
-        n = self.version() + 1
-        state.select(*COLUMNS).write.mode("overwrite").parquet(f"{self.folder}/v={n}")
+    def write(self, state: DataFrame, n: int) -> None:
+        state.select(*COLUMNS).orderBy("rel").write.mode("overwrite").parquet(f"{self.folder}/v={n}")
+
+    def point(self, n: int) -> None:
+        """Make snapshot n the current one: the staged pointer replaces the old one in one rename."""
         staged, pointer = self._path(f"{self.folder}/CURRENT.{n}"), self._path(f"{self.folder}/CURRENT")
         out = self._fs.create(staged, True)
         out.write(bytearray(str(n), "utf-8"))
         out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(staged, pointer)
+        kind = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        where = self._fs.makeQualified(staged), self._fs.makeQualified(pointer)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where[0].toUri(), self._conf).rename(*where, how)
+
+    def commit(self, state: DataFrame, keep: int = 3) -> int:
+        n = self.version() + 1
+        self.write(state, n)
+        self.point(n)
         old = self._path(f"{self.folder}/v={n - keep}")
         if n > keep and self._fs.exists(old):
             self._fs.delete(old, True)

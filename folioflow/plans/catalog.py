@@ -7,21 +7,27 @@ profiles, ``events`` for file events, ``labels`` for split markers. State record
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import columns as C
-from folioflow.operators import bands, cache, gate, state, transcript
+from folioflow.operators import backends, bands, cache, gate, state, transcript
 from folioflow.options import Options
+from folioflow.sources import bundles
 from folioflow.streaming import loop
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: The time of the pass, and where the first file's modification time lies.
-NOW, EPOCH = 1_700_030_000, 1_700_000_000
+NOW, EPOCH = 1_700_021_000, 1_700_000_000
 OPTIONS = Options(max_age_hours=5.0, min_reprocess_interval=300.0, require_split=True)
 
 _LISTING = f"""
@@ -311,9 +317,53 @@ SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY list_posi
 def page_order(spark, d):
     turns = read(spark, d, "conversations")
     listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((F.col("turn") * 7 % 5).alias("k"), "turn"))).alias("ids"))
-    ids = listed.select("conv_id", F.posexplode(F.transform("ids", lambda x: x["turn"])).alias("pos", "turn"))
+    pages = F.transform("ids", lambda x: F.struct(x["turn"].cast("string").alias("id")))
+    # Both shapes of a content document, read by the bundle source.
+    content = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(F.struct(pages.alias("pages")).alias("cPages")))).otherwise(F.to_json(F.struct(F.transform("ids", lambda x: x["turn"].cast("string")).alias("pages"))))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([bundles.page_ids(c) for c in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["conv_id", "ids"])
+
+    found = listed.select(F.col("conv_id").cast("long"), content.alias("content")).mapInArrow(run, "conv_id long, ids array<string>")
+    ids = found.select("conv_id", F.posexplode("ids").alias("pos", "turn")).withColumn("turn", F.col("turn").cast("int"))
     stored = turns.where("turn % 4 <> 3").select("conv_id", "turn")
-    return ids.join(stored, ["conv_id", "turn"]).select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("pos")).cast("bigint").alias("page_no"))
+    return ids.join(stored, ["conv_id", "turn"]).select(F.col("conv_id").cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("turn").cast(turns.schema["turn"].dataType).alias("turn"), F.row_number().over(Window.partitionBy("conv_id").orderBy("pos")).cast("bigint").alias("page_no"))
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'Talk ' || conv_id END AS title, CAST(count(*) AS BIGINT) AS n_pages, md5(string_agg(text, '' ORDER BY turn DESC)) AS pages_md5 FROM conversations GROUP BY conv_id""")
+def bundle_extract(spark, d):
+    """Each conversation as an archive with a page order and mostly a name, and read again."""
+    turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                out, n = io.BytesIO(), row["conv_id"]
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("x.metadata", json.dumps({"visibleName": " " if n % 3 == 0 else f" Talk {n} "}))
+                    z.writestr("x.content", json.dumps({"pages": [f"p{t['turn']}" for t in reversed(row["turns"])]}))
+                    for t in row["turns"]:
+                        z.writestr(f"x/p{t['turn']}.rm", t["text"].encode())
+                got = bundles.read_bundle(out.getvalue())
+                rows.append({"conv_id": n, "title": got.title, "n_pages": len(got.pages), "pages_md5": hashlib.md5(b"".join(p for _, p in got.pages)).hexdigest()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("conv_id", pa.int64()), ("title", pa.string()), ("n_pages", pa.int64()), ("pages_md5", pa.string())]))
+
+    return turns.select(F.col("conv_id").cast("long"), "turns").mapInArrow(run, "conv_id long, title string, n_pages long, pages_md5 string")
+
+
+@query("""SELECT conv_id, regexp_replace(string_agg(text, '' ORDER BY turn), '^\\s+|\\s+$', '', 'g') AS text FROM conversations GROUP BY conv_id""")
+def token_stream(spark, d):
+    """Each conversation as the lines that a model streams, folded by the model client."""
+    turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.to_json(F.struct(F.col("text").alias("response"))).alias("line")))).alias("lines"))
+
+    def run(batches):
+        for batch in batches:
+            folded = [backends.fold_stream([*(x["line"].encode() for x in lines), b"", b'{"done": true}', b"not read"]) for lines in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(folded, pa.string())], ["conv_id", "text"])
+
+    return turns.select(F.col("conv_id").cast("long"), "lines").mapInArrow(run, "conv_id long, text string")
 
 
 @query("SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
@@ -384,13 +434,13 @@ def scan_suffix_filter(spark, d):
     return listing(spark, d).where(C.is_input(F.col("path"))).select("doc_id")
 
 
-@query(f"WITH {_LISTING} SELECT doc_id, row_number() OVER (ORDER BY string_split(rel, '/')) AS place FROM listing WHERE doc_id % 50 < 25")
+@query(f"WITH {_LISTING} SELECT doc_id, row_number() OVER (ORDER BY string_split(rel, '/')) AS place FROM listing")
 def scan_path_order(spark, d):
-    # A total order of paths; places within folders need no global window.
-    files = listing(spark, d).where("doc_id % 50 < 25").select("doc_id", "source", "rel")
+    # A total order of paths: places within folders, and a running sum over the folders' sizes.
+    files = listing(spark, d).select("doc_id", "source", "rel")
     inside = files.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(C.components(F.col("rel")))))
     sizes = files.groupBy("source").agg(F.count("*").alias("size"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.source") < F.col("a.source"), "left").groupBy("a.source").agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("skip"))
+    before = sizes.withColumn("skip", F.sum("size").over(Window.orderBy("source")) - F.col("size")).drop("size")
     return inside.join(before, "source").select("doc_id", (F.col("n") + F.col("skip")).cast("bigint").alias("place"))
 
 
@@ -430,6 +480,6 @@ def bool_parse(spark, d):
     return read(spark, d, "events").select("event_id", C.truth(raw).alias("value"))
 
 
-@query("SELECT CAST(event_id AS BIGINT) AS attempt, CAST(floor(least(2 * pow(1.5, event_id), 30) * 1000) AS BIGINT) AS ms FROM events WHERE event_id < 12")
+@query("SELECT CAST(event_id AS BIGINT) AS attempt, CAST(floor(least(2 * pow(1.5, least(event_id, 100)), 30) * 1000) AS BIGINT) AS ms FROM events")
 def backoff_schedule(spark, d):
-    return read(spark, d, "events").where("event_id < 12").select(F.col("event_id").alias("attempt"), F.floor(C.backoff(F.col("event_id")) * 1000).alias("ms"))
+    return read(spark, d, "events").select(F.col("event_id").alias("attempt"), F.floor(C.backoff(F.col("event_id")) * 1000).alias("ms"))

@@ -74,20 +74,22 @@ def rendered_pages(spark: SparkSession, due: DataFrame, renderer: Renderer, cach
     suffix = F.lower(C.suffix(F.col("path")))
     due = due.withColumn("suffix", suffix)
     rendered = F.col("suffix").isin(*BUNDLE_SUFFIXES, *PAGE_SUFFIXES)
-    stored = cache.read()
-    known = hits(due.where(rendered & F.lit(hashed)).withColumn("sha256", F.col("token")), stored).select("rel", "sha256")
-    known = _kept(known)
+    asked = due.where(rendered & F.lit(hashed)).withColumn("sha256", F.col("token"))
+    stored = cache.read(asked)
+    known = _kept(hits(asked, stored).select("rel", "sha256"))
     again = _kept(known.join(stored, "sha256").select("rel", "sha256", "title", "page_no", "page", "marker", "max_aspect", "readable", F.lit(None).cast("string").alias("error")))
     rest = due.join(known, "rel", "left_anti")
     fresh = rendered_rows(spark, rest, renderer)
     new = fresh.where("page is not null").join(due.where(rendered).select("rel"), "rel", "left_semi")
-    cache.put(_kept(misses(new, stored).dropDuplicates(["sha256", "page_no"])))
+    cache.put(_kept(new.dropDuplicates(["sha256", "page_no"])))
     return fresh.unionAll(again)
 
 
-def cut_tall(pages: DataFrame, renderer, o: Options) -> DataFrame:
-    """Pages with the tall ones cut at white bands and all renumbered; needs profile() and crop()."""
-    shape = _kept(stages.profiles(pages, renderer)).withColumn("key", F.struct("rel", "page_no"))
+def cut_tall(pages: DataFrame, renderer, o: Options) -> tuple[DataFrame, DataFrame]:
+    """Pages with the tall ones cut at white bands and all renumbered, and (rel, error) of sources whose
+    pages can't be measured or cut; needs profile() and crop()."""
+    every = _kept(stages.profiles(pages, renderer)).withColumn("key", F.struct("rel", "page_no"))
+    shape = every.where("error is null")
     tall = shape.where((F.col("width") > 0) & (F.col("height") / F.col("width") > o.split_max_aspect))
     rows = bands.rows_of(tall, "key", "profile")
     cuts = bands.cuts(bands.white_bands(rows, "key", float(o.split_whitespace_threshold), o.split_min_gap_height), "key", o.split_target_page_height)
@@ -95,7 +97,9 @@ def cut_tall(pages: DataFrame, renderer, o: Options) -> DataFrame:
     parts = bands.segments(sized, "key").select("key.rel", "key.page_no", "segment", "top", "bottom")
     cropped = _kept(stages.crop(pages.join(parts, ["rel", "page_no"], "left"), renderer))
     number = F.row_number().over(Window.partitionBy("rel").orderBy("page_no", "segment"))
-    return cropped.withColumn("page_no", number).select("rel", "page_no", "page")
+    wrong = every.select("rel", "page_no", "error").unionAll(cropped.select("rel", "page_no", "error")).where("error is not null")
+    whole = cropped.where("error is null").withColumn("page_no", number).select("rel", "page_no", "page")
+    return whole, wrong.groupBy("rel").agg(F.min_by("error", "page_no").alias("split_error"))
 
 
 def run_pass(spark: SparkSession, o: Options, renderer: Renderer, transcriber: Transcriber, now: float | None = None) -> PassResult:
@@ -119,7 +123,8 @@ def run_pass(spark: SparkSession, o: Options, renderer: Renderer, transcriber: T
     heads = _kept(pages.groupBy("rel").agg(F.first("sha256").alias("sha256"), F.first("title").alias("visible"), F.max("marker").alias("marker"), F.max("max_aspect").alias("max_aspect"), F.max("readable").alias("readable"), F.max("error").alias("error"), page_hash.alias("render_sha256")))
     sound = pages.where("error is null").select("rel", "page_no", "page")
     if o.auto_split:
-        sound = cut_tall(sound, renderer, o)
+        sound, wrong = cut_tall(sound, renderer, o)
+        heads = _kept(heads.join(wrong, "rel", "left").withColumn("error", F.coalesce("error", "split_error")).drop("split_error"))
         heads = heads.withColumn("marker", F.when(F.col("error").isNull(), F.lit(o.split_marker_value)))
     ready = gate.split_ready(heads.where("error is null"), o).select("rel", "ready")
     told = _kept(due.join(heads, "rel").join(ready, "rel", "left"))

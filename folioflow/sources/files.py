@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +44,13 @@ def _literal(path: str) -> str:
 
 
 def contents(spark: SparkSession, rows: DataFrame) -> Iterator[DataFrame]:
-    """``rows`` with their content, in blocks of a bounded number of files, so that a scan opens these
-    files only. A file that has gone since the listing is missing from the result."""
-    paths = (r.path for r in rows.select("path").toLocalIterator())
-    for block in itertools.batched(paths, SCAN_PATHS):
-        read = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load([_literal(p) for p in block])
-        yield rows.join(read.select(F.expr(_clean("path")).alias("path"), "content"), "path")
+    """``rows`` with their content, in blocks of about SCAN_PATHS files, so that a scan opens these files
+    only; a scan takes a list of paths, so one block's paths at a time are on the driver. A file that has
+    gone since the listing is missing from the result."""
+    blocks = max(1, -(-rows.count() // SCAN_PATHS))
+    for n in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("path"), F.lit(blocks)) == n) if blocks > 1 else rows
+        paths = [_literal(r.path) for r in block.select("path").collect()]
+        if paths:
+            read = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
+            yield block.join(read.select(F.expr(_clean("path")).alias("path"), "content"), "path")

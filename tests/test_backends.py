@@ -80,6 +80,25 @@ def test_tall_pages_are_cut_at_white_bands(spark, tmp_path):
     assert record.pages == 4 and record.chars_per_page == [620, 735, 515, 40]
 
 
+def test_pages_that_cannot_be_cut_are_errors(spark, tmp_path):
+    class Breaks(TallRenderer):
+        def profile(self, page):
+            if page.startswith(b"n"):
+                raise ValueError("no image")
+            return super().profile(page)
+
+        def crop(self, page, top, bottom):
+            raise ValueError("torn")
+
+    tall = "a" * 600 + "w" * 40 + "b" * 700 + "w" * 30 + "c" * 500
+    vault = Vault(spark, tmp_path, auto_split=True)
+    for name, page in (("No.pdf", "no picture"), ("Torn.pdf", tall), ("Fine.pdf", "b" * 40)):
+        vault.put(name, page.encode())
+    got = run_pass(spark, vault.o, Breaks(lambda content: Rendering([content])), StubTranscriber(), NOW)
+    assert got.failed == {"notes/No.pdf": "split: no image", "notes/Torn.pdf": "split: torn"} and got.done == 1
+    assert {k: (r.status, r.retries) for k, r in vault.records().items()} == {"notes/No.pdf": ("error", 1), "notes/Torn.pdf": ("error", 1), "notes/Fine.pdf": ("ok", 0)}
+
+
 def test_plain_transcripts(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "plain"
     (source / "sub").mkdir(parents=True)

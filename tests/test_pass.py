@@ -6,8 +6,12 @@ import zipfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from folioflow.operators import state
 from folioflow.operators.backends import BundleRenderer, Rendering
+from folioflow.operators.cache import SCHEMA as CACHE_SCHEMA
+from folioflow.operators.cache import RenderCache
 from folioflow.options import Options, check_paths
 from folioflow.plans.incremental import run_pass
 
@@ -178,3 +182,33 @@ def test_c50_guards_and_repeat(vault):
     before = vault.records()
     assert vault.scan().done == 0 and vault.records() == before
     assert vault.scan(hash_check=False).gates == {"prefilter-skip": 1}
+
+
+def test_a_commit_that_dies_leaves_a_state(spark, tmp_path):
+    store = state.StateStore(spark, str(tmp_path / "manifest"))
+    one = spark.createDataFrame([{"rel": "b", "status": "ok"}, {"rel": "a", "status": "ok"}], state.SCHEMA)
+    assert store.commit(one) == 1 and [r.rel for r in store.read().collect()] == ["a", "b"]
+    # Dead after the snapshot, before its pointer: the last state stays, and the number is written again.
+    store.write(one.limit(0), 2)
+    assert store.version() == 1 and store.read().count() == 2
+    assert store.commit(one.limit(1)) == 2 and store.read().count() == 1
+    # Dead while a snapshot is written.
+    (tmp_path / "manifest" / "v=3").mkdir()
+    assert store.version() == 2 and store.commit(one) == 3
+    # Without a pointer the last complete snapshot counts.
+    (tmp_path / "manifest" / "CURRENT").unlink()
+    (tmp_path / "manifest" / "v=7").mkdir()
+    assert store.version() == 3 and store.read().count() == 2 and store.commit(one) == 4
+    assert not list((tmp_path / "manifest").glob("CURRENT.*"))
+
+
+def test_the_cache_opens_the_shards_that_are_asked_for(spark, tmp_path):
+    cache = RenderCache(spark, str(tmp_path / "rendered"))
+    pages = spark.createDataFrame([(f"{i:02x}" + "0" * 62, "t", 1, b"page", None, 1.0, True) for i in range(40)], CACHE_SCHEMA)
+    cache.put(pages)
+    cache.put(pages)
+    asked = pages.where(F.col("sha256") < "03")
+    found = cache.read(asked)
+    assert found.count() == 3 and cache.read().count() == 40 and cache.read(pages.limit(0)).count() == 0
+    assert {f.split("shard=")[1][:2] for f in found.inputFiles()} >= {"00", "01", "02"}
+    assert "PartitionFilters: [shard" in found._jdf.queryExecution().toString()

@@ -34,5 +34,10 @@ def test_query_equals_sql(spark, con, name):
 def test_entry_is_stable(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["gate", "n"]
+    assert e.entry(spark).columns == ["gate", "n"] and len(e.entry(spark).collect()) > 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["change_gate", "gate_summary", "recency_filter"])
+def test_gated_queries_have_rows(spark, name):
+    assert 0 < len(catalog.QUERIES[name](spark, SF).collect()) <= 200
