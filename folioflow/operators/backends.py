@@ -37,8 +37,8 @@ class Transcriber(Protocol):
 
 
 class BundleRenderer:
-    """Reads bundles itself; ``documents`` and ``drawing`` turn PDF files and single drawings into page
-    images and need libraries that are not part of this package."""
+    """Reads bundles itself; ``documents(content) -> Rendering`` and ``drawing(content) -> pages`` turn PDF
+    files and single drawings into page images (``readers``)."""
 
     def __init__(self, documents=None, drawing=None) -> None:
         self.documents, self.drawing = documents, drawing
@@ -48,13 +48,13 @@ class BundleRenderer:
             if self.documents is None:
                 raise RuntimeError("no PDF reader is set")
             return self.documents(content)
-        draw = self.drawing or (lambda page: page)
+        draw = self.drawing or (lambda page: [page])
         if suffix in BUNDLE_SUFFIXES:
             bundle = read_bundle(content)
             if not bundle.pages:
                 raise ValueError("the bundle has no pages")
-            return Rendering([draw(page) for _, page in bundle.pages], bundle.title)
-        return Rendering([draw(content)])
+            return Rendering([p for _, page in bundle.pages for p in draw(page)], bundle.title)
+        return Rendering(draw(content))
 
 
 PROMPT = "Write out the handwriting on this page as Markdown, line for line. Give the text alone, and [illegible] for words that can't be read."
@@ -84,6 +84,7 @@ class ModelClient:
     timeout: int = 1800
     threads: int | None = None
     no_think: bool = True
+    cpu: bool = False
     keep_alive: str = "30m"
     settings: dict = field(default_factory=dict)
 
@@ -92,7 +93,7 @@ class ModelClient:
         return urllib.request.urlopen(request, timeout=timeout)
 
     def transcribe(self, page: bytes) -> str:
-        settings = {"temperature": 0} | ({"num_thread": self.threads} if self.threads else {}) | self.settings
+        settings = {"temperature": 0} | ({"num_gpu": 0} if self.cpu else {}) | ({"num_thread": self.threads} if self.threads else {}) | self.settings
         body = {"model": self.model, "prompt": PROMPT, "images": [base64.b64encode(page).decode()], "stream": True, "keep_alive": self.keep_alive, "options": settings}
         with self._post("/api/generate", body | ({"think": False} if self.no_think else {}), self.timeout) as lines:
             return fold_stream(lines)

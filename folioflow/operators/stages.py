@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions import images
 from folioflow.operators.backends import Renderer, Transcriber
+from folioflow.options import lies_under
 
 RENDERED = "rel string, sha256 string, title string, page_no int, page binary, marker string, max_aspect double, readable boolean, error string"
 _RENDERED = pa.schema([("rel", pa.string()), ("sha256", pa.string()), ("title", pa.string()), ("page_no", pa.int32()), ("page", pa.binary()), ("marker", pa.string()), ("max_aspect", pa.float64()), ("readable", pa.bool_()), ("error", pa.string())])
@@ -77,8 +79,9 @@ def crop(pages: DataFrame, renderer) -> DataFrame:
     return pages.select("rel", "page_no", "segment", "top", "bottom", "page").mapInArrow(run, CROPPED)
 
 
-def transcribe(pages: DataFrame, transcriber: Transcriber) -> DataFrame:
-    """(rel, page_no, text, error). Calls are spread over tasks by page, as each may take minutes."""
+def transcribe(pages: DataFrame, transcriber: Transcriber, max_px: int = 0) -> DataFrame:
+    """(rel, page_no, text, error). Calls are spread over tasks by page, as each may take minutes. PNG pages
+    are shrunk to ``max_px`` pixels a side first (0: not)."""
 
     def run(batches):
         schema = pa.schema([("rel", pa.string()), ("page_no", pa.int32()), ("text", pa.string()), ("error", pa.string())])
@@ -86,7 +89,7 @@ def transcribe(pages: DataFrame, transcriber: Transcriber) -> DataFrame:
             for row in batch.to_pylist():
                 out = {"rel": row["rel"], "page_no": row["page_no"]}
                 try:
-                    out["text"] = transcriber.transcribe(row["page"])
+                    out["text"] = transcriber.transcribe(images.fit(row["page"], max_px))
                 except Exception as e:
                     out["error"] = str(e) or type(e).__name__
                 yield pa.RecordBatch.from_pylist([out], schema)
@@ -95,11 +98,12 @@ def transcribe(pages: DataFrame, transcriber: Transcriber) -> DataFrame:
     return pages.repartition(width, "rel", "page_no").select("rel", "page_no", "page").mapInArrow(run, "rel string, page_no int, text string, error string")
 
 
-def write_files(texts: DataFrame, path: str = "out_path", text: str = "transcript") -> DataFrame:
+def write_files(texts: DataFrame, path: str = "out_path", text: str = "transcript", root: str | None = None, forbidden: tuple[str, ...] = ()) -> DataFrame:
     """Write each row's text to its path, whole or not at all; (rel, error) for each row.
 
     Paths are in a file system that driver and executors share. A task that runs again writes the same
-    bytes to the same names.
+    bytes to the same names. With links resolved, a path must lie below ``root`` (if given) and outside of
+    the ``forbidden`` folders.
     """
 
     def run(batches):
@@ -109,6 +113,9 @@ def write_files(texts: DataFrame, path: str = "out_path", text: str = "transcrip
                 error, target = None, row["path"]
                 staged = f"{target}.{uuid.uuid4().hex}.tmp"
                 try:
+                    real = os.path.realpath(target)
+                    if root is not None and not lies_under(real, os.path.realpath(root)) or any(lies_under(real, os.path.realpath(p)) for p in forbidden):
+                        raise OSError(f"output: {real} is outside of where transcripts go")
                     os.makedirs(os.path.dirname(target), exist_ok=True)
                     with open(staged, "w", encoding="utf-8", newline="") as f:
                         f.write(row["text"])
@@ -118,5 +125,3 @@ def write_files(texts: DataFrame, path: str = "out_path", text: str = "transcrip
                 yield pa.RecordBatch.from_pylist([{"rel": row["rel"], "error": error}], schema)
 
     return texts.select("rel", F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(run, "rel string, error string")
-
-

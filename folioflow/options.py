@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
@@ -24,7 +25,10 @@ def as_list(text: str) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class Options:
-    """What a pass depends on besides its inputs. Times are seconds unless the name says otherwise."""
+    """What a pass depends on besides its inputs. Times are seconds unless the name says otherwise.
+
+    Fixed values: the numbers and the output suffix below are what users' set-ups rely on.
+    """
 
     vault_dir: str = "/vault"
     source_subdir: str = "notes"
@@ -38,6 +42,14 @@ class Options:
     model_wait_timeout: int = 1800
     threads: int = 14
     no_think: bool = True
+    cpu: bool = False
+    chrome: bool = False
+    #: none, auto, the program's name, or the path of one that takes the same arguments.
+    pdf_backend: str = "auto"
+    drawing_backend: str = "auto"
+    #: Wake up by file events (1) or by the timer alone, and seconds over which events are one wake-up.
+    inotify: bool = True
+    wake_delay: float = 2.0
     dpi: int = 150
     max_px: int = 1568
     timeout: int = 1800
@@ -49,6 +61,7 @@ class Options:
     run_window: str = ""
     require_split: bool = False
     auto_split: bool = False
+    split_marker_key: str = "/Splitter"
     split_marker_value: str = "processed"
     split_max_aspect: float = 2.0
     split_target_page_height: int = 700
@@ -91,13 +104,14 @@ def lies_under(path: str, prefix: str) -> bool:
 
 
 def check_paths(o: Options) -> None:
-    """Refuse settings under which a pass could write where it must not. Raises ValueError."""
+    """Refuse settings under which a pass could write where it must not, with links resolved. Raises
+    ValueError."""
     used = [o.vault_dir, o.source_dir, o.state_dir, *([] if o.out_alongside else [o.output_dir])]
     for path in used:
         for prefix in o.forbidden_paths:
-            if lies_under(path, prefix):
+            if lies_under(path, prefix) or lies_under(os.path.realpath(path), os.path.realpath(prefix)):
                 raise ValueError(f"{path} is under the forbidden path {prefix}")
     if not lies_under(o.source_dir, o.vault_dir):
         raise ValueError(f"source {o.source_dir} is outside of the vault {o.vault_dir}")
-    if not o.out_suffix and (o.out_alongside or o.output_dir == o.source_dir):
+    if not o.out_suffix and (o.out_alongside or os.path.realpath(o.output_dir) == os.path.realpath(o.source_dir)):
         raise ValueError("an output suffix is needed where transcripts share a folder with sources")

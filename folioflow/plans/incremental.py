@@ -35,7 +35,10 @@ def _kept(df: DataFrame) -> DataFrame:
     """Cut lineage, so that backends run once whatever is derived from their rows."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioflow-"))
     return df.checkpoint(eager=True)
 
 
@@ -128,7 +131,7 @@ def run_pass(spark: SparkSession, o: Options, renderer: Renderer, transcriber: T
         heads = heads.withColumn("marker", F.when(F.col("error").isNull(), F.lit(o.split_marker_value)))
     ready = gate.split_ready(heads.where("error is null"), o).select("rel", "ready")
     told = _kept(due.join(heads, "rel").join(ready, "rel", "left"))
-    texts = _kept(stages.transcribe(sound.join(told.where("ready"), "rel", "left_semi"), transcriber))
+    texts = _kept(stages.transcribe(sound.join(told.where("ready"), "rel", "left_semi"), transcriber, o.max_px))
     wrong = texts.where("error is not null").groupBy("rel").agg(F.min_by("error", "page_no").alias("page_error"))
     folded = transcript.collect_pages(texts.where("error is null").select("rel", "page_no", "text"), "rel")
     modified = C.iso_seconds(F.timestamp_seconds("mtime"))
@@ -139,7 +142,7 @@ def run_pass(spark: SparkSession, o: Options, renderer: Renderer, transcriber: T
     named = transcript.name_outputs(good, records, o).withColumn("source_modified", modified)
     body = transcript.with_front_matter(F.col("pages"), F.col("title"), F.col("rel"), o.model, F.col("source_modified"), C.iso_seconds(F.timestamp_seconds(F.lit(now))))
     named = _kept(named.withColumn("transcript", body))
-    written = _kept(stages.write_files(named.where("violation is null")))
+    written = _kept(stages.write_files(named.where("violation is null"), root=o.vault_dir if o.out_alongside else o.output_dir, forbidden=o.forbidden_paths))
 
     base = {"rel": "rel", "mtime": "mtime", "size": "size", "sha256": "token"}
 

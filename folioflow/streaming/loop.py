@@ -1,13 +1,15 @@
 """Continuous passes: a timer-driven stream whose batches list the source tree anew.
 
 Spark's file stream never reports a path twice, so it can't see a file that was written again; a
-rate source only sets the pace here, and each micro-batch is one incremental pass. Events that
-arrive while a pass runs are one more pass, not one each.
+rate source only sets the pace here, and each micro-batch is one incremental pass. File events
+(``watch``) bring the next pass forward; those that arrive within a short time or while a pass runs are one
+more pass, not one each.
 """
 
 from __future__ import annotations
 
 import logging
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -20,6 +22,7 @@ from folioflow.functions.columns import parse_window
 from folioflow.operators.backends import Renderer, Transcriber
 from folioflow.options import Options
 from folioflow.plans.incremental import PassResult, run_pass
+from folioflow.streaming.watch import watcher
 
 log = logging.getLogger("folioflow")
 
@@ -44,9 +47,15 @@ class Loop:
     clock: Callable[[], float] = time.time
     keep: int = 100
     results: list[PassResult | Exception] = field(default_factory=list)
+    #: One pass at a time, whatever asks for it.
+    turn: threading.Lock = field(default_factory=threading.Lock)
 
     def tick(self) -> PassResult | Exception | None:
-        """One pass unless the window is closed."""
+        """One pass unless the window is closed; waits for one that runs."""
+        with self.turn:
+            return self._tick()
+
+    def _tick(self) -> PassResult | Exception | None:
         now = self.clock()
         if not open_now(self.options.run_window, now):
             log.info("outside of the run window %s", self.options.run_window)
@@ -59,6 +68,29 @@ class Loop:
         self.results = [*self.results[1 - self.keep :], got]
         return got
 
+    def watch(self) -> Callable[[], None] | None:
+        """Passes on file events, beside the timer's; returns what ends them, or None without events."""
+        woken, end = threading.Event(), threading.Event()
+        found = watcher(self.options.source_dir, woken.set)
+        if found is None:
+            return None
+
+        def passes() -> None:
+            while not end.is_set():
+                if woken.wait(0.5) and not end.wait(self.options.wake_delay):
+                    woken.clear()
+                    self.tick()
+
+        thread = threading.Thread(target=passes, name="folioflow-wake", daemon=True)
+        thread.start()
+
+        def stop() -> None:
+            end.set()
+            found.stop()
+            thread.join()
+
+        return stop
+
     def start(self, every: str | None = None) -> StreamingQuery:
         """Run until the returned query is stopped, every ``interval`` seconds by default."""
         pace = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
