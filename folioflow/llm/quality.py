@@ -103,7 +103,7 @@ def text_counts(texts: Texts) -> dict[str, np.ndarray]:
 def _measure(batches):
     for batch in batches:
         texts, parts = Texts.of(batch.column("text")), []
-        for i, j in texts.blocks(1 << 20):
+        for i, j in texts.blocks(1 << 18):
             lo, hi = texts.start[i], texts.end[j - 1]
             parts.append(text_counts(Texts(texts.data[lo:hi], texts.start[i:j] - lo, texts.end[i:j] - lo)))
         arrays = [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS]

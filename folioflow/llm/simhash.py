@@ -87,7 +87,7 @@ def _shingled(column: pa.Array, sizes: list[int], seed: int):
     """For each text of a column: the shingle hashes of each size, in the order of the words."""
     texts = Texts.of(column)
     texts = Texts(_LOWER[texts.data], texts.start, texts.end)
-    for i, j in texts.blocks(1 << 20):
+    for i, j in texts.blocks(1 << 18):
         lo, hi = texts.start[i], texts.end[j - 1]
         part = Texts(texts.data[lo:hi], texts.start[i:j] - lo, texts.end[i:j] - lo)
         words = Words.of(part)
