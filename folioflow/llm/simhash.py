@@ -5,8 +5,7 @@ A fingerprint within ``radius`` bits of another agrees with it in at least ``agr
 every link falls inside some shard. A shard's key takes as many bits of its blocks as leave some thousand
 fingerprints in a shard; more blocks must agree where one has too few bits. Each shard is a BK-tree, whose
 children are keyed by their integer Hamming distance to the parent; a fingerprint descends it along the
-edges within the radius of its own distance. Fingerprints that are found leave the tree, so that each is
-asked once, about what no other has reached. Shards travel to tasks by key, as their number and total size
+edges within the radius of its own distance. Shards travel to tasks by key, as their number and total size
 grow with the corpus; a broadcast of all trees would have no proven bound and pass through the driver. A
 shard that is too large for a task is cut into parts, and each two parts are a task.
 """
@@ -190,41 +189,30 @@ class BKTree:
 
 
 def spanning(items: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of places that connect the same distinct fingerprints as all links within the radius do.
-
-    What was reached is asked next and leaves the tree, which is built anew when half of it has left.
-    """
-    out: list[tuple[int, int]] = []
-    free = np.ones(len(items), bool)
-    waiting, seeds = np.empty(0, np.int64), 0
-    there, tree, left = np.empty(0, np.int64), None, len(items)
-    while True:
-        if not len(waiting):
-            # New ones begin; those that link to each other at once are found among themselves.
-            some = seeds + np.flatnonzero(free[seeds : seeds + 4 * ASKED])[:ASKED]
-            if not len(some):
-                seeds += 4 * ASKED
-                if seeds >= len(items):
-                    return out
-                continue
-            a, b = np.nonzero(np.triu(np.bitwise_count(items[some][:, None] ^ items[some][None]) <= radius, 1))
-            out += zip(some[a].tolist(), some[b].tolist())
-            free[some] = False
-            left -= len(some)
-            waiting = some
-        if tree is None or 2 * left < len(there):
-            there = np.flatnonzero(free)
-            tree = BKTree(items[there])
-        asked, waiting = waiting[:ASKED], waiting[ASKED:]
-        q, place = tree.near(items[asked], radius)
-        open_ = free[there[place]]
-        q, place = q[open_], there[place[open_]]
-        # Two that are asked and reach the same one are linked through it.
-        out += zip(asked[q].tolist(), place.tolist())
-        reached = np.unique(place)
-        free[reached] = False
-        left -= len(reached)
-        waiting = np.concatenate([waiting, reached])
+    """Pairs of places that connect the same distinct fingerprints as all links within the radius do. All
+    descend the tree, ASKED at a time; of links between the same two groups so far, one is kept."""
+    tree, group, n, out = BKTree(items), np.arange(len(items)), len(items), []
+    for a in range(0, n, ASKED):
+        q, place = tree.near(items[a : a + ASKED], radius)
+        x, y = group[q + a], group[place]
+        _, first = np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)
+        first = first[x[first] != y[first]]
+        if not len(first):
+            continue
+        out += zip((q[first] + a).tolist(), place[first].tolist())
+        above: dict[int, int] = {}
+        for u, v in zip(x[first].tolist(), y[first].tolist()):
+            while u in above:
+                u = above[u]
+            while v in above:
+                v = above[v]
+            if u != v:
+                above[max(u, v)] = min(u, v)
+        into = np.arange(n)
+        for u in sorted(above):
+            into[u] = into[above[u]]
+        group = into[group]
+    return out
 
 
 def in_tasks(rows: DataFrame, key: str, item: str, most: int, weight: Column | None = None) -> DataFrame:

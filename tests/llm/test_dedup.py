@@ -275,6 +275,21 @@ def test_spanning_connects_what_all_links_do(monkeypatch, asked):
     assert roots(len(items), got) == roots(len(items), pairs) and set(got) <= set(pairs)
 
 
+@pytest.mark.parametrize("asked", [1, 40, 256])
+def test_spanning_joins_groups_that_grow_side_by_side(monkeypatch, asked):
+    # Chains: each fingerprint is linked to the next alone, so a lost link tears a group apart.
+    monkeypatch.setattr(simhash, "ASKED", asked)
+    rng = np.random.default_rng(asked)
+    chain = [rng.integers(0, 1 << 63, 4, dtype=np.uint64)]
+    for _ in range(300):
+        bits = rng.integers(0, 64, (3, 4)).astype(np.uint64)
+        chain.append(chain[-1] ^ np.bitwise_or.reduce(np.uint64(1) << bits, axis=0))
+    items = rng.permutation(np.unique(np.concatenate(chain)))
+    pairs = [(i, int(j)) for i in range(len(items)) for j in np.flatnonzero(np.bitwise_count(items ^ items[i]) <= 4)]
+    got = simhash.spanning(items, 4)
+    assert roots(len(items), got) == roots(len(items), pairs) and set(got) <= set(pairs) and len(got) < 2 * len(items)
+
+
 def test_trees_hold_the_shards_of_a_corpus(spark):
     prints = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     fp = np.unique(np.array([r.fp for r in prints.collect()]).view(np.uint64))
