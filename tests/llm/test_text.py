@@ -112,6 +112,17 @@ def test_pieces_equal_the_library_and_round_trip(spark, docs):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_blocks_hold_every_text_once_and_few_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", 10)
+    texts = [None, "", "abc", "é" * 4, None, "x" * 35, "", "yz", *"abcdefghijkl", None]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()).slice(2), pa.array([], pa.string()), pa.array([None], pa.string())):
+        found = pieces.blocks(column)
+        assert [k for a, b in found for k in range(a, b)] == list(range(len(column)))
+        sizes = [[len((t or "").encode()) for t in column[a:b].to_pylist()] for a, b in found]
+        assert all(sum(s) - max(s) <= 10 for s in sizes)
+    assert len(pieces.blocks(pa.array(texts))) > 3
+
+
 def test_lattice_in_spark_equals_the_fold(spark):
     words = ["▁hello", "▁thonwhre", "\n", "▁▁▁▁▁x", "世界é", "a" * 40, "▁internationalization", "."]
     path = token_file(pieces.MODEL)
