@@ -2,13 +2,18 @@
 
 Vectors that are equal component by component are one point with a count, so a vector that a third
 of all rows share is one point. Vectors of each length are compared among themselves. Centroids are fitted
-on a bounded sample; every point is then assigned. A point is compared within its own cell and within each
-other cell whose border it is near: for a partner at the threshold on the far side of the border the two
-dot products differ by at most sin(angle) * |c1 - c2|. That bound is exact and finds every link. A ``margin``
-follows only so many standard deviations of vectors that spread alike in all dimensions, and loses links of
-others. Both the points of a cell and those that ask there are dealt into blocks, more for a fuller cell, so
-a task holds one block of each whatever the size of the cell. Blocks are compared with double-precision
-matrix products, whose matches turn into counts and spanning links at once; pairs aren't listed.
+on a bounded sample; every point is then assigned. A cell is one block of points, or several where it is
+full, and a block is one row of a checkpointed table, so every point is stored once. A Cartesian product
+of that table reads the blocks from there for each pair; no copies of points are shuffled, and what the
+query writes grows with the input, whatever cells meet.
+
+Two cells' points can only be linked near the border of both: for a partner at the threshold on the far side
+of the border the two dot products differ by at most sin(angle) * |c1 - c2|. That bound is exact and finds
+every link. A ``margin`` follows only so many standard deviations of vectors that spread alike in all
+dimensions, and loses links of others. Within a block, points near a head are a group with the largest angle to
+that head, and two groups are compared only if their heads are no further apart than both angles and the
+threshold's together. What is left is decided by products in double precision; links turn into counts and
+spanning links at once, pairs aren't listed.
 """
 
 from __future__ import annotations
@@ -27,8 +32,12 @@ SAMPLE = 20_000
 CELLS = 4096
 #: Points that a cell should have on average.
 CELL_SIZE = 1000
-#: Points of a cell, and points that ask there, that one block holds, about.
+#: Points that one block holds, about.
 BLOCK = 4000
+#: Bytes of vectors in a partition of blocks, about; a task of the product holds one such partition.
+PART = 1 << 26
+#: Rows that a product takes at a time, and numbers in a batch of vectors that are compared pair by pair.
+ROWS, NUMBERS = 1024, 1 << 22
 
 Key = tuple[pa.Scalar, ...]
 
@@ -52,11 +61,15 @@ def unit_matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     x[good] = np.nan_to_num(flat.reshape(-1, width), nan=np.nan, posinf=np.nan, neginf=np.nan)
     good &= np.isfinite(x).all(axis=1)
     x[~good] = 0
+    return scaled(x), good & x.any(axis=1)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; rows of zeros stay."""
     peak = np.abs(x).max(axis=1)
-    good &= peak > 0
-    x /= np.where(peak > 0, peak, 1)[:, None]
+    x = x / np.where(peak > 0, peak, 1)[:, None]
     norm = np.sqrt((x * x).sum(axis=1))
-    return x / np.where(norm > 0, norm, 1)[:, None], good
+    return x / np.where(norm > 0, norm, 1)[:, None]
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -75,7 +88,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
 
 
 class Cells:
-    """The cells of the vectors of one length: centroids, and the blocks of each cell. Task numbers begin at base."""
+    """The cells of the vectors of one length: centroids, and the blocks of each cell, numbered from base to last."""
 
     def __init__(self, centers: np.ndarray, threshold: float, margin: float | None) -> None:
         self.centers = centers
@@ -83,99 +96,154 @@ class Cells:
         if margin is not None:
             self.gaps *= min(1.0, margin / np.sqrt(centers.shape[1]))
 
-    def asked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, the row's own cell?) of all cells that rows are compared in."""
-        dots = x @ self.centers.T
-        home = dots.argmax(axis=1)
-        row, cell = np.nonzero(dots[np.arange(len(dots)), home][:, None] - dots <= self.gaps[home] + 1e-12)
-        return row, cell, cell == home[row]
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centers.T).argmax(axis=1)
+
+    def asks(self, x: np.ndarray, cell: int, other: int) -> np.ndarray:
+        """Which rows of a cell can have a link into another one."""
+        return x @ (self.centers[cell] - self.centers[other]) <= self.gaps[cell, other] + 1e-12
 
     def deal(self, sample: np.ndarray, n: int, base: int) -> int:
-        """Set how many blocks each cell has for its points and for those that ask there; the next base."""
-        own, all_ = np.zeros(len(self.centers)), np.zeros(len(self.centers))
-        for a in range(0, len(sample), 2048):
-            _, cell, at_home = self.asked(sample[a : a + 2048])
-            own += np.bincount(cell[at_home], minlength=len(own))
-            all_ += np.bincount(cell, minlength=len(own))
-        self.stand, self.ask = (np.maximum(1, np.round(c * n / max(1, len(sample)) / BLOCK)).astype(np.int64) for c in (own, all_))
-        tasks = self.stand * self.ask
-        self.base = base + np.cumsum(tasks) - tasks
-        return base + int(tasks.sum())
-
-    def tasks(self, x: np.ndarray, point: np.ndarray):
-        """(row, task, asks, stands): a point asks all blocks of a cell, and stands in one of its own cell's."""
-        row, cell, at_home = self.asked(x)
-        stand, ask = self.stand[cell], self.ask[cell]
-        mine, block = point[row] % stand, (point[row] >> 20) % ask
-
-        def each(counts):
-            r = np.repeat(np.arange(len(row)), counts)
-            return r, np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
-
-        r, s = each(stand)
-        own, o = each(np.where(at_home, ask, 0))
-        own, o = own[o != block[own]], o[o != block[own]]
-        task = np.concatenate([self.base[cell[r]] + s * ask[r] + block[r], self.base[cell[own]] + mine[own] * ask[own] + o])
-        asks = np.concatenate([np.ones(len(r), bool), np.zeros(len(own), bool)])
-        stands = np.concatenate([at_home[r] & (s == mine[r]), np.ones(len(own), bool)])
-        return np.concatenate([row[r], row[own]]), task, asks, stands
+        """Set how many blocks each cell has, by where the sample of n points is; the next base."""
+        own = sum((np.bincount(self.home(sample[a : a + 2048]), minlength=len(self.centers)) for a in range(0, len(sample), 2048)), np.zeros(len(self.centers)))
+        self.count = np.maximum(1, np.round(own * n / max(1, len(sample)) / BLOCK)).astype(np.int64)
+        self.base = base + np.cumsum(self.count) - self.count
+        self.last = base + int(self.count.sum()) - 1
+        return self.last + 1
 
 
 def _assign(cells):
-    def rows(batch, at, task, asks, stands):
-        take = pa.array(at)
-        return pa.record_batch([pa.array(task, pa.int64()), batch.column("point").take(take), batch.column("size").take(take), pa.array(asks), pa.array(stands), batch.column("embedding").take(take)], ["task", "point", "size", "asks", "stands", "embedding"])
-
     def assign(batches):
         by_width = cells.value
         for batch in batches:
             width, point = batch.column("width").to_numpy(), batch.column("point").to_numpy()
-            for w in np.unique(width).tolist():
-                of = np.flatnonzero(width == w)
-                if w not in by_width:
-                    # So few points of this length that they are one task.
-                    yield rows(batch, of, np.full(len(of), -w), np.ones(len(of), bool), np.ones(len(of), bool))
-                    continue
+            # So few points of a length that they are one block.
+            block, last, cell = -width.astype(np.int64), -width.astype(np.int64), np.full(len(width), -1, np.int32)
+            for w in set(np.unique(width).tolist()) & set(by_width):
+                of, own = np.flatnonzero(width == w), by_width[w]
                 for a in range(0, len(of), 2048):
                     here = of[a : a + 2048]
                     x, _ = unit_matrix(batch.column("embedding").take(pa.array(here)))
-                    row, task, asks, stands = by_width[w].tasks(x, point[here])
-                    for b in range(0, len(row), 1 << 14):
-                        p = slice(b, b + (1 << 14))
-                        yield rows(batch, here[row[p]], task[p], asks[p], stands[p])
+                    cell[here] = own.home(x)
+                    block[here] = own.base[cell[here]] + point[here] % own.count[cell[here]]
+                last[of] = own.last
+            made = [pa.array(block), pa.array(last), pa.array(cell), *(batch.column(c) for c in ("width", "point", "size", "embedding"))]
+            yield pa.record_batch(made, ["block", "last", "cell", "width", "point", "size", "embedding"])
 
     return assign
 
 
-def _compare(threshold: float):
-    def compare(key: Key, rows: pa.Table) -> pa.Table:
+def groups(x: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, angles): rows dealt into groups of those within an angle of the group's first row, and
+    the largest angle to it in each group."""
+    head = np.full(len(x), -1)
+    for a in range(0, len(x), ROWS):
+        near = x[a : a + ROWS] @ x.T >= np.cos(angle)
+        for i in range(a, min(a + ROWS, len(x))):
+            if head[i] < 0:
+                head[near[i - a] & (head < 0)] = i
+                head[i] = i
+    order = np.argsort(head, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(head[order]) > 0))
+    least = np.minimum.reduceat((x[order] * x[head[order]]).sum(axis=1), starts)
+    return order, starts, np.arccos(np.clip(least, -1, 1))
+
+
+def _pack(threshold: float, kind: type):
+    def pack(key: Key, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("point")
-        point, size, asks, stands = (rows[c].to_numpy(zero_copy_only=False) for c in ("point", "size", "asks", "stands"))
-        x, _ = unit_matrix(rows["embedding"])
-        out = ([], [], [])
-        base, weight = x[stands], size[stands]
-        there = point[stands]
-        x, point = x[asks], point[asks]
-        group = {p: i for i, p in enumerate(there.tolist())}
-        parent = np.arange(len(there))
-        for a in range(0, len(x), 1024):
-            near = x[a : a + 1024] @ base.T >= threshold
-            same = point[a : a + 1024, None] == there[None]
-            near &= ~same
+        # A group reaches 0.7 of the threshold's angle; any reach gives the same links.
+        order, starts, angles = groups(unit_matrix(rows["embedding"])[0], 0.7 * np.arccos(min(1.0, max(-1.0, threshold))))
+        vectors = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)[order]
+        kept = {c: rows[c][:1] for c in ("block", "last", "cell", "width")}
+        parts = {"points": rows["point"].to_numpy()[order], "sizes": rows["size"].to_numpy()[order], "vectors": vectors.astype(kind), "starts": starts.astype(np.int64), "angles": angles}
+        return pa.table(kept | {c: pa.array([x.tobytes()], pa.binary()) for c, x in parts.items()})
+
+    return pack
+
+
+class Block:
+    """A block's row, opened: unit vectors by groups, whose first rows are their heads."""
+
+    def __init__(self, row: dict, prefix: str, kind: type) -> None:
+        self.number, self.cell, self.width = (row[prefix + c] for c in ("block", "cell", "width"))
+        self.points, self.sizes, self.starts = (np.frombuffer(row[prefix + c], np.int64) for c in ("points", "sizes", "starts"))
+        self.angles = np.frombuffer(row[prefix + "angles"])
+        self.x = scaled(np.frombuffer(row[prefix + "vectors"], kind).reshape(-1, self.width).astype(float))
+        self.counts = np.diff(np.append(self.starts, len(self.x)))
+
+    def heads(self, own: Cells | None, other: Block) -> np.ndarray:
+        """The groups that hold a point which can have a link into the other block."""
+        if own is None or self.cell == other.cell:
+            return np.arange(len(self.starts))
+        return np.flatnonzero(np.logical_or.reduceat(own.asks(self.x, self.cell, other.cell), self.starts))
+
+
+def linked(a: Block, b: Block, own: Cells | None, threshold: float):
+    """(row, rows): for rows of one block the linked rows of the other; within one block, later rows only."""
+    g, h, same = a.heads(own, b), b.heads(own, a), a.number == b.number
+    # cos(t + u + v) = cos(t + u) cos(v) - sin(t + u) sin(v) is two more components of the heads' product.
+    reach = np.arccos(min(1.0, max(-1.0, threshold))) + a.angles[g]
+    left = np.column_stack([a.x[a.starts[g]], -np.cos(reach), np.sin(reach)]).astype(np.float32)
+    right = np.column_stack([b.x[b.starts[h]], np.cos(b.angles[h]), np.sin(b.angles[h])]).astype(np.float32)
+    slack, found, total = (a.width + 16) * 2.0**-21, [], 0
+    for k in range(0, len(g) if len(h) else 0, ROWS):
+        i, j = np.nonzero(left[k : k + ROWS] @ right.T >= -slack)
+        found.append((g[k + i], h[j]))
+        total += int((a.counts[found[-1][0]] * b.counts[found[-1][1]]).sum())
+        if 16 * total > len(a.x) * len(b.x):
+            break
+    if 16 * total > len(a.x) * len(b.x):
+        for k in range(0, len(a.x), ROWS):
+            near = a.x[k : k + ROWS] @ b.x.T >= threshold
+            if same:
+                near &= np.arange(k, k + len(near))[:, None] < np.arange(len(b.x))
             for i in np.flatnonzero(near.any(axis=1)).tolist():
-                hit = np.flatnonzero(near[i])
-                p = int(point[a + i])
-                out[0].append(p)
-                out[1].append(int(weight[hit].sum()))
-                roots, first = np.unique(parent[hit], return_index=True)
-                own = group.get(p)
-                if own is not None:
-                    first = first[roots != parent[own]]
-                    parent[np.isin(parent, roots)] = parent[own]
-                else:
-                    parent[np.isin(parent, roots)] = roots[0]
-                out[2].append(there[hit[first]].tolist())
-        return pa.table({"point": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "others": pa.array(out[2], pa.list_(pa.int64()))})
+                yield k + i, np.flatnonzero(near[i])
+        return
+    if not total:
+        return
+    g, h = (np.concatenate(x) for x in zip(*found))
+    each = a.counts[g] * b.counts[h]
+    pair = np.repeat(np.arange(len(g)), each)
+    at = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
+    i, j = a.starts[g][pair] + at // b.counts[h][pair], b.starts[h][pair] + at % b.counts[h][pair]
+    if same:
+        i, j = i[i < j], j[i < j]
+    step = max(1, NUMBERS // a.width)
+    near = np.concatenate([np.einsum("ij,ij->i", a.x[i[k : k + step]], b.x[j[k : k + step]]) >= threshold for k in range(0, len(i), step)] or [np.zeros(0, bool)])
+    i, j = i[near], j[near]
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    cuts = np.flatnonzero(np.append(True, np.diff(i) > 0)) if len(i) else np.zeros(0, int)
+    yield from zip(i[cuts].tolist(), np.split(j, cuts[1:]))
+
+
+def _compare(threshold: float, kind: type, cells):
+    def told(a: Block, b: Block):
+        shift = 0 if a.number == b.number else len(a.x)
+        points = a.points if not shift else np.concatenate([a.points, b.points])
+        links, label, others = np.zeros(len(points), np.int64), np.arange(len(points)), {}
+        for i, hit in linked(a, b, cells.value.get(a.width) if a.cell >= 0 else None, threshold):
+            links[i] += b.sizes[hit].sum()
+            links[hit + shift] += a.sizes[i]
+            roots, first = np.unique(label[hit + shift], return_index=True)
+            new = roots != label[i]
+            if new.any():
+                others[i] = points[hit[first[new]] + shift].tolist()
+                label[np.isin(label, roots)] = label[i]
+        some = np.flatnonzero(links)
+        made = [pa.array(points[some]), pa.array(links[some]), pa.array([others.get(i, []) for i in some.tolist()], pa.list_(pa.int64()))]
+        return pa.record_batch(made, ["point", "links", "others"])
+
+    def compare(batches):
+        a = None
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if a is None or a.number != row["a_block"]:
+                    a = Block(row, "a_", kind)
+                yield told(a, a if a.number == row["b_block"] else Block(row, "b_", kind))
 
     return compare
 
@@ -197,29 +265,38 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     values = F.col("embedding")
     sound = values.isNotNull() & (F.size(values) > 0) & F.forall(values, lambda v: F.coalesce((v == v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(values, lambda v: v != 0)
-    rows = rows.withColumn("print", F.when(sound, F.xxhash64("embedding")))
-    # Points are known by a hash of their components; the vector itself keeps equal hashes apart.
-    points = cut(rows.where("print is not null").groupBy("print", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")).withColumn("point", F.xxhash64("embedding", F.lit(1))))
-    points = points.withColumn("width", F.size("embedding"))
-    widths = points.groupBy("width").agg(F.count("*").alias("n")).where(F.col("n") > CELL_SIZE).orderBy("width").collect()
+    # Points are known by two hashes of their components, so that rows find theirs without the vectors.
+    rows = rows.withColumn("width", F.size("embedding")).withColumn("print", F.when(sound, F.xxhash64("embedding"))).withColumn("point", F.when(sound, F.xxhash64(F.lit(1), "embedding")))
+    some = rows.where("print is not null")
+    points = some.groupBy("print", "point").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    widths = some.groupBy("width").agg(F.approx_count_distinct("print").alias("n")).where(F.col("n") > CELL_SIZE).orderBy("width").collect()
     alone = rows.where("print is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     cells, base = {}, 0
     for width, n in widths:
-        x, _ = unit_matrix(points.where(F.col("width") == width).orderBy("point").limit(SAMPLE).select("embedding").toArrow()["embedding"])
+        drawn = some.where((F.col("width") == width) & (F.pmod("point", F.lit(max(1, n // SAMPLE))) == 0)).select("print", "point", "embedding").distinct()
+        x, _ = unit_matrix(drawn.orderBy("point", "print").limit(SAMPLE).select("embedding").toArrow()["embedding"])
         cells[width] = Cells(spherical_kmeans(x, min(CELLS, n // CELL_SIZE)), threshold, margin)
         base = cells[width].deal(x, n, base)
-    dealt = points.select("point", "size", "width", "embedding").mapInArrow(_assign(spark.sparkContext.broadcast(cells)), f"task long, point long, size long, asks boolean, stands boolean, embedding {kind}")
-    found = cut(dealt.groupBy("task").applyInArrow(_compare(threshold), "point long, links long, others array<long>"))
+    known_cells, number = spark.sparkContext.broadcast(cells), np.float32 if kind == "array<float>" else np.float64
+    # The vectors are written twice on their way to the blocks, as distinct ones and by block, and once as these.
+    dealt = some.groupBy("print", "point", "width", "embedding").agg(F.count("*").alias("size")).select("point", "size", "width", "embedding").mapInArrow(_assign(known_cells), f"block long, last long, cell int, width int, point long, size long, embedding {kind}")
+    parts = max(sum(n * width for width, n in widths) * np.dtype(number).itemsize // PART, int(np.sqrt(8 * spark.sparkContext.defaultParallelism))) + 1
+    packed = "block long, last long, cell int, width int, " + ", ".join(f"{c} binary" for c in ("points", "sizes", "vectors", "starts", "angles"))
+    # However many partitions wrote the blocks, the product has a task for each two of these.
+    blocks = cut(dealt.repartition(parts, "block").groupBy("block").applyInArrow(_pack(threshold, number), packed)).coalesce(parts)
+    a, b = (blocks.select([F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "ab")
+    pairs = a.hint("shuffle_replicate_nl").join(b, F.expr("a_block <= b_block and b_block <= a_last"))
+    found = cut(pairs.mapInArrow(_compare(threshold, number, known_cells), "point long, links long, others array<long>"))
     degree = found.groupBy("point").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("point").alias("src"), F.explode("others").alias("dst")).distinct())
     known = (
-        points.select("print", "embedding", "point", "size", "least").join(degree, "point", "left").join(labels.withColumnRenamed("id", "point"), "point", "left")
-        .select("print", "embedding", "least", F.coalesce("component", "point").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+        points.select("print", "point", "size", "least").join(degree, "point", "left").join(labels.withColumnRenamed("id", "point"), "point", "left")
+        .select("print", "point", "least", F.coalesce("component", "point").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     )
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(least, "component").drop("component", "least")
-    linked = rows.where("print is not null").join(known, ["print", "embedding"]).select("vec_id", "n_links", "component_id")
-    return linked.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    told = some.select("vec_id", "print", "point").join(known, ["print", "point"]).select("vec_id", "n_links", "component_id")
+    return told.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

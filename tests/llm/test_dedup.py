@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import urllib.parse
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -376,6 +378,41 @@ def test_vectors_of_few_effective_dimensions_in_many_cells(spark, monkeypatch):
     assert got == [(i, int(near[i].sum()), root[i], root[i] == i) for i in range(len(x))], f"{found} of {links} links"
 
 
+def files_of(spark):
+    """Bytes of shuffle files and checkpoints."""
+    local = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    at = urllib.parse.urlparse(spark.sparkContext.getCheckpointDir()).path
+    return {p: p.stat().st_size for d in (*local, at) for p in Path(d).rglob("*") if p.is_file()}
+
+
+def test_vectors_are_written_a_few_times_however_many_cells_meet(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_SIZE", 40)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x[3000:] = x[:1000] + rng.normal(size=(1000, 64)) * 0.2
+    df = spark.createDataFrame(list(enumerate(x.astype(np.float32).tolist())), "vec_id long, embedding array<float>")
+    before = files_of(spark)
+    got = embeddings.near_duplicate_vectors(df).collect()
+    written = sum(n for p, n in files_of(spark).items() if p not in before)
+    assert sum(r.n_links > 0 for r in got) == 2000
+    assert written < 10 * x.size * 4, written / (x.size * 4)
+
+
+def test_groups_leave_no_link_out():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(30, 6)), rng.integers(1, 12, 30), axis=0)
+    x = embeddings.scaled(x + rng.normal(size=x.shape) * rng.choice([0.02, 0.2, 0.5], (len(x), 1)))
+    for threshold in (0.5, 0.9, 0.99, 1 - 1e-9):
+        blocks = []
+        for number, own in enumerate((x[::2], x[1::2])):
+            rows = pa.table({"block": [number] * len(own), "last": [1] * len(own), "cell": pa.array([-1] * len(own), pa.int32()), "width": pa.array([6] * len(own), pa.int32()), "point": np.arange(len(own)), "size": np.ones(len(own), np.int64), "embedding": pa.array(own.tolist())})
+            blocks.append(embeddings.Block(embeddings._pack(threshold, np.float64)((pa.scalar(number),), rows).to_pylist()[0], "", np.float64))
+        for a, b in ((0, 1), (0, 0)):
+            got = {(blocks[a].points[i], blocks[b].points[j]) for i, hit in embeddings.linked(blocks[a], blocks[b], None, threshold) for j in hit}
+            want = {(i, j) for i, j in np.argwhere(blocks[a].x[np.argsort(blocks[a].points)] @ blocks[b].x[np.argsort(blocks[b].points)].T >= threshold).tolist()}
+            assert (got if a != b else {tuple(sorted(p)) for p in got}) == (want if a != b else {(i, j) for i, j in want if i < j})
+
+
 def brute_vectors(rows):
     """(vec_id, n_links, component_id, kept) of each row, by the vectors of each length."""
     near = np.zeros((len(rows), len(rows)), bool)
