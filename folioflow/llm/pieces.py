@@ -37,6 +37,7 @@ COUNTED = 1 << 17
 #: Bytes of text that are Python strings, or a batch of results, at a time, about.
 BLOCK = 1 << 20
 SPACE = "▁"
+SPACE_BYTES = SPACE.encode()
 #: A word: spaces with what follows up to the next space or line end. No piece crosses such a border.
 WORD = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 
@@ -54,8 +55,7 @@ class Pieces:
 
     def __post_init__(self) -> None:
         self.memo, self.seeded = Memo(self.encode_word), None
-        #: Every piece, and every byte, decodes to itself.
-        self.exact = all(self.out[i] == p.encode() for p, i in self.ids.items()) and self.out[self.bytes_id : self.bytes_id + 256] == [bytes([b]) for b in range(256)]
+        self.bytes_of = pa.array(self.out, pa.large_binary())
         #: Rank of each mergeable piece, and -1 for what only begins one: the walk stops where nothing goes on.
         self.walk = {p[:n]: -1 for p in self.rank for n in range(2, len(p))} | self.rank
         self.word = re.compile(WORD)
@@ -95,10 +95,20 @@ class Pieces:
         """Do ids stand for a word's own bytes?"""
         return b"".join(map(self.out.__getitem__, ids)) == word.encode("utf-8", "surrogatepass")
 
-    def round_trip(self, text: str, ids: np.ndarray) -> bool:
-        """Is decoding a text's ids, as ``encode`` gave them, the text again? Where every piece decodes to its
-        own bytes, so does every word, and only a U+2581 that the text itself holds can be lost."""
-        return SPACE not in text if self.exact else self.decode(ids.tolist()) == text
+    def round_trips(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Is decoding each text's ids the text again? The ids of all texts are looked up at once."""
+        ends = np.cumsum([0, *map(len, ids)])
+        found = self.bytes_of.take(pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+        at = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[ends].tolist()
+        data = found.buffers()[2]
+        raw = memoryview(data) if data is not None else b""
+
+        def same(got: bytes, text: str) -> bool:
+            plain = got.replace(SPACE_BYTES, b" ")
+            # Equal bytes are equal texts; others can still be, where broken bytes became U+FFFD.
+            return plain[plain.startswith(b" ") :] == text.encode() or self.text(got) == text
+
+        return [same(bytes(raw[i:k]), text) for i, k, text in zip(at, at[1:], texts)]
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -107,7 +117,11 @@ class Pieces:
         return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32)
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        return self.text(b"".join(map(self.out.__getitem__, ids)))
+
+    def text(self, raw: bytes) -> str:
+        """The text of pieces' bytes."""
+        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -222,16 +236,13 @@ def _encode(model: str, seed, digest: bool, memo: int):
             pieces.memo, pieces.seeded = Memo(pieces.encode_word, memo, known), token
         for batch in batches:
             for a, b in blocks(batch.column(1)):
-                rows = []
-                for text in batch.column(1)[a:b].to_pylist():
-                    ids = pieces.encode(text or "")
-                    trip = pieces.round_trip(text or "", ids)
-                    rows.append((len(ids), trip, hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() if digest else ids))
-                n, trip, last = zip(*rows)
+                texts = [text or "" for text in batch.column(1)[a:b].to_pylist()]
+                coded = [pieces.encode(text) for text in texts]
+                n, trip = [len(ids) for ids in coded], pieces.round_trips(texts, coded)
                 if digest:
-                    tail = pa.array(last, pa.string())
+                    tail = pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in coded], pa.string())
                 else:
-                    tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(last), pa.int32()))
+                    tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(coded), pa.int32()))
                 yield pa.record_batch([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(trip, pa.bool_()), tail], ["doc_id", "n_tokens", "round_trip", "ids_sha256" if digest else "token_ids"])
 
     return run

@@ -112,6 +112,21 @@ def test_pieces_equal_the_library_and_round_trip(spark, docs):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_round_trip_decodes_the_ids():
+    model = pieces.load(token_file(pieces.MODEL))
+    texts = ["", "hello world", " two  spaces\n", "世界é\x00", "a▁b", "", "x" * 50]
+    ids = [model.encode(t) for t in texts]
+    assert model.round_trips(texts, ids) == [t != "a▁b" for t in texts] == [model.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+    # Ids that stand for something else are found, wherever they come from.
+    assert model.round_trips(["hello", "world", ""], [ids[1], ids[1][:0], ids[0]]) == [False, False, True]
+    model.memo["▁wrong"] = model.encode_word("▁right")
+    try:
+        assert model.round_trips(["wrong"], [model.encode("wrong")]) == [False]
+    finally:
+        del model.memo["▁wrong"]
+    assert model.round_trips([], []) == [] and model.round_trips([""], ids[:1]) == [True]
+
+
 def test_blocks_hold_every_text_once_and_few_bytes(monkeypatch):
     monkeypatch.setattr(pieces, "BLOCK", 10)
     texts = [None, "", "abc", "é" * 4, None, "x" * 35, "", "yz", *"abcdefghijkl", None]
