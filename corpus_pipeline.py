@@ -49,7 +49,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, round_trip, token_ids of each row; null texts have no tokens."""
-    return pieces.encode(docs, memo=1 << 18)
+    return pieces.encode_by_blocks(docs)
 
 
 STAGES = [

@@ -4,9 +4,11 @@ Frequent words go through Spark: every substring of bounded length is exploded a
 the piece table, the edges are grouped by word, and a higher-order ``aggregate`` folds them into the
 word's pieces. The model at hand is a BPE model, for which the best-scoring path (Viterbi) is not the
 encoding; the fold therefore takes edges in the order of their merges and keeps an edge if both its
-ends are still borders, which gives the library's pieces exactly. The words it resolves are a table
-of bounded size that every task gets; rarer words are folded over the same lattice where they occur,
-as a join of all word occurrences would move several times the corpus.
+ends are still borders, which gives the library's pieces exactly. ``encode_by_blocks`` sends every word
+through it: texts are cut into blocks, and the distinct words of each block are joined with what the lattice
+gives for them. In ``encode`` the words it resolves are a table of bounded size that every task gets; rarer
+words are folded over the same lattice where they occur, as a join of all word occurrences would move several
+times the corpus.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,10 @@ HEAD, HEAD_LENGTH = 1 << 17, 40
 COUNTED = 1 << 17
 #: Bytes of text that are Python strings, or a batch of results, at a time, about.
 BLOCK = 1 << 20
+#: A block of texts ends with so many distinct words, or characters of text, about.
+BLOCK_WORDS, BLOCK_TEXT = 1 << 17, 1 << 24
+#: Borders that are bits of a long; characters up to which a part of a word goes through Spark's lattice.
+BITS, LONGEST_PART = 61, 1 << 10
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
 #: A word: spaces with what follows up to the next space or line end. No piece crosses such a border.
@@ -91,6 +98,24 @@ class Pieces:
                 ids += [self.bytes_id + b for b in word[i:k].encode("utf-8", "surrogatepass")]
         return array("i", ids).tobytes()
 
+    def parts(self, word: str) -> list[str]:
+        """A word or, of one with more than BITS characters, what lies between places that no lattice edge crosses."""
+        n, walk = len(word), self.walk.get
+        if n <= BITS:
+            return [word]
+        cuts, reach = [0], 1
+        for i in range(n):
+            if i >= reach:
+                cuts.append(i)
+            reach = max(reach, i + 1)
+            for k in range(i + 2, n + 1):
+                r = walk(word[i:k])
+                if r is None:
+                    break
+                if r >= 0:
+                    reach = max(reach, k)
+        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], n])]
+
     def gives(self, ids, word: str) -> bool:
         """Do ids stand for a word's own bytes?"""
         return b"".join(map(self.out.__getitem__, ids)) == word.encode("utf-8", "surrogatepass")
@@ -171,21 +196,38 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
 
 
 def lattice(words: DataFrame, model: str) -> DataFrame:
-    """(word, ids) for distinct words of at most 62 characters, in DataFrame operations alone."""
+    """(word, ids) for distinct words, in DataFrame operations alone. Words of at most BITS characters have their
+    borders in a long, longer ones in a string of bytes."""
+    return _lattice(words.where(F.length("word") <= BITS), model, False).unionAll(_lattice(words.where(F.length("word") > BITS), model, True))
+
+
+def _lattice(words: DataFrame, model: str, long: bool) -> DataFrame:
     p = load(model)
     spans = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i")).select(
         "word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.length("word") - F.col("i")))).alias("n")
     )
-    edges = spans.withColumn("piece", F.substring("word", F.col("i") + 1, F.col("n"))).join(F.broadcast(piece_table(words.sparkSession, model)), "piece").where("n = 1 or rank is not null")
+    # Single characters stay without a piece, too, and with them every word.
+    edges = spans.withColumn("piece", F.substring("word", F.col("i") + 1, F.col("n"))).join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("n = 1 or rank is not null")
     # Edges in merge order; single characters, which need no merge, come last.
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "i", "n", "id"))).alias("edges"))
-    grouped = words.join(grouped, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<rank:int,i:int,n:int,id:int>>")))
-    bit = lambda mask, at: F.call_function("getbit", mask, at)
-    ones = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n) - 1
-    inside = lambda e: F.call_function("shiftleft", ones(e["n"] - 1), e["i"] + 1)
-    folded = grouped.withColumn("border", F.aggregate("edges", ones(F.length("word") + 1), lambda m, e: F.when((bit(m, e["i"]) == 1) & (bit(m, e["i"] + e["n"]) == 1), m.bitwiseAND(F.bitwise_not(inside(e)))).otherwise(m)))
-    starts = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: bit(F.col("border"), i) == 1)
-    whole = lambda e: (bit(F.col("border"), e["i"]) == 1) & (bit(F.col("border"), e["i"] + e["n"]) == 1) & (F.col("border").bitwiseAND(inside(e)) == 0)
+    edge = F.when(F.col("id").isNotNull(), F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "i", "n", "id"))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    if long:
+        all_of = lambda digit, n: F.encode(F.repeat(F.lit(digit), n), "utf-8")
+        every = all_of("1", F.length("word") + 1)
+        is_on = lambda mask, at: F.substring(mask, at + 1, F.lit(1)) == F.lit(b"1")
+        without = lambda mask, e: F.overlay(mask, all_of("0", e["n"] - 1), e["i"] + 2, e["n"] - 1)
+        is_off = lambda mask, e: F.substring(mask, e["i"] + 2, e["n"] - 1) == all_of("0", e["n"] - 1)
+    else:
+        ones = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n) - 1
+        inside = lambda e: F.call_function("shiftleft", ones(e["n"] - 1), e["i"] + 1)
+        every = ones(F.length("word") + 1)
+        is_on = lambda mask, at: F.call_function("getbit", mask, at) == 1
+        without = lambda mask, e: mask.bitwiseAND(F.bitwise_not(inside(e)))
+        is_off = lambda mask, e: mask.bitwiseAND(inside(e)) == 0
+    both = lambda mask, e: is_on(mask, e["i"]) & is_on(mask, e["i"] + e["n"])
+    folded = grouped.withColumn("border", F.aggregate("edges", every, lambda m, e: F.when(both(m, e), without(m, e)).otherwise(m)))
+    starts = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: is_on(F.col("border"), i))
+    whole = lambda e: both(F.col("border"), e) & is_off(F.col("border"), e)
     kept = folded.withColumn("starts", starts).withColumn("known", F.map_from_entries(F.transform(F.filter("edges", whole), lambda e: F.struct(e["i"], e["id"]))))
     raw = lambda i: F.hex(F.encode(F.substring("word", i + 1, F.lit(1)), "utf-8"))
     fallback = lambda i: F.transform(F.sequence(F.lit(0), F.floor(F.length(raw(i)) / 2).cast("int") - 1), lambda b: F.conv(F.substring(raw(i), b * 2 + 1, F.lit(2)), 16, 10).cast("int") + p.bytes_id)
@@ -235,19 +277,23 @@ def _encode(model: str, seed, digest: bool, memo: int):
             known = dict(zip(words, (x.tobytes() for x in np.split(ids, ends))))
             pieces.memo, pieces.seeded = Memo(pieces.encode_word, memo, known), token
         for batch in batches:
-            for a, b in blocks(batch.column(1)):
-                texts = [text or "" for text in batch.column(1)[a:b].to_pylist()]
-                coded = [pieces.encode(text) for text in texts]
-                n, trip = [len(ids) for ids in coded], pieces.round_trips(texts, coded)
-                if digest:
-                    tail = pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in coded], pa.string())
-                else:
-                    tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(coded), pa.int32()))
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(trip, pa.bool_()), tail], ["doc_id", "n_tokens", "round_trip", "ids_sha256" if digest else "token_ids"])
+            yield from _coded(pieces, batch.column(0), batch.column(1), digest)
 
     return run
 
 
+def _coded(pieces: Pieces, doc_ids: pa.Array, column: pa.Array, digest: bool):
+    for a, b in blocks(column):
+        texts = [text or "" for text in column[a:b].to_pylist()]
+        coded = [pieces.encode(text) for text in texts]
+        n, trip = [len(ids) for ids in coded], pieces.round_trips(texts, coded)
+        if digest:
+            tail = pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in coded], pa.string())
+        else:
+            tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(coded), pa.int32()))
+        yield pa.record_batch([doc_ids[a:b], pa.array(n, pa.int64()), pa.array(trip, pa.bool_()), tail], ["doc_id", "n_tokens", "round_trip", "ids_sha256" if digest else "token_ids"])
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, digest: bool = False, memo: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, n_tokens, round_trip, and token_ids, or with ``digest`` the
     SHA-256 of the ids as little-endian 32-bit integers.
@@ -264,7 +310,108 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         raise ValueError("the lattice lost a word's bytes")
     seed = spark.sparkContext.broadcast((uuid.uuid4().hex, rows["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.asarray(ids.offsets)[1:-1] if len(ids) else np.empty(0, int)))
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return asked.mapInArrow(_encode(path, seed, digest, memo), "doc_id long, n_tokens long, round_trip boolean, " + ("ids_sha256 string" if digest else "token_ids array<int>"))
+    return asked.mapInArrow(_encode(path, seed, digest, memo), _columns(digest))
+
+
+def _columns(digest: bool) -> str:
+    return "doc_id long, n_tokens long, round_trip boolean, " + ("ids_sha256 string" if digest else "token_ids array<int>")
+
+
+class Known(dict):
+    """Words of a block -> ids, as the lattice gave them."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        parts = self.pieces.parts(word)
+        if len(parts) > 1:
+            return b"".join(map(self.__getitem__, parts))
+        if len(word) > LONGEST_PART:
+            return self.pieces.encode_word(word)
+        raise ValueError(f"a word of the texts didn't come through the lattice: {word!r}")
+
+
+#: A block's texts (word is null) and its distinct words.
+SPREAD = "block long, doc_id long, text string, word string"
+
+
+def _spread(model: str):
+    """Texts with the number of a block, and the distinct words of each block, of long words their parts."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("word", pa.string())])
+
+    def run(batches):
+        pieces, block, words, size = load(model), TaskContext.get().partitionId() << 32, set(), 0
+
+        def rows(n, doc_ids=None, texts=None, words=None):
+            given = [pa.array(np.full(n, block)), doc_ids, texts, words]
+            return pa.record_batch([pa.nulls(n, f.type) if x is None else x.cast(f.type) for x, f in zip(given, schema)], schema=schema)
+
+        def told():
+            long = [w for w in words if len(w) > BITS]
+            words.difference_update(long)
+            words.update(x for w in long for x in pieces.parts(w) if len(x) <= LONGEST_PART)
+            found = list(words)
+            words.clear()
+            for a in range(0, len(found), 1 << 15):
+                some = pa.array(found[a : a + (1 << 15)], pa.string())
+                yield rows(len(some), words=some)
+
+        for batch in batches:
+            for a, b in blocks(batch.column(1)):
+                texts = batch.column(1)[a:b]
+                yield rows(b - a, batch.column(0)[a:b], texts)
+                for text in texts.to_pylist():
+                    if text:
+                        words.update(pieces.word.findall(SPACE + text.replace(" ", SPACE)))
+                        size += len(text)
+                if len(words) >= BLOCK_WORDS or size >= BLOCK_TEXT:
+                    yield from told()
+                    block, size = block + 1, 0
+        yield from told()
+
+    return run
+
+
+def _encode_blocks(model: str, digest: bool):
+    def run(batches):
+        pieces, at = load(model), None
+        for batch in batches:
+            block, is_word = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((np.diff(block) != 0) | (is_word[1:] != is_word[:-1])) + 1).tolist(), len(block)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b and block[a] != at:
+                    at, pieces.memo, pieces.seeded = block[a], Known(pieces), None
+                if a < b and is_word[a]:
+                    ids = batch.column(3)[a:b]
+                    raw, ends = ids.flatten().to_numpy().astype(np.int32).tobytes(), (4 * np.cumsum([0, *pc.list_value_length(ids).to_pylist()])).tolist()
+                    pieces.memo.update(zip(batch.column(2)[a:b].to_pylist(), (raw[i:k] for i, k in zip(ends, ends[1:]))))
+                elif a < b:
+                    yield from _coded(pieces, batch.column(1)[a:b], batch.column(2)[a:b], digest)
+
+    return run
+
+
+def encode_by_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, digest: bool = False) -> DataFrame:
+    """The rows of ``encode``, with the ids of every word from Spark's lattice.
+
+    Texts with the numbers of their blocks and each block's distinct words are written into the shared folder,
+    where they stay, as rows are computed when they are asked for. A word of more than BITS characters goes
+    through the lattice in the parts between places that no edge crosses. A part without such a place that has
+    more than LONGEST_PART characters, a run of one sign say, is folded over the same lattice in its task: the
+    rows of its edges would grow with the square of its length.
+    """
+    spark, path = ready(docs.sparkSession), model or token_file(MODEL)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pieces-{uuid.uuid4().hex}"
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    asked.mapInArrow(_spread(path), SPREAD).write.parquet(folder)
+    spread = spark.read.schema(SPREAD).parquet(folder)
+    words = spread.where("word is not null").groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    known = words.join(lattice(words.select("word"), path), "word").select(F.explode("blocks").alias("block"), F.lit(None).cast("long").alias("doc_id"), F.col("word").alias("text"), "ids")
+    texts = spread.where("word is null").select("block", "doc_id", "text", F.lit(None).cast("array<int>").alias("ids"))
+    dealt = known.unionAll(texts).repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
+    return dealt.mapInArrow(_encode_blocks(path, digest), _columns(digest))
 
 
 def _decode(model: str, names: list[str]):

@@ -146,6 +146,45 @@ def test_lattice_in_spark_equals_the_fold(spark):
     assert got == {w: np.frombuffer(model.encode_word(w), np.int32).tolist() for w in words}
 
 
+def test_pipeline_takes_every_word_from_the_lattice(spark, monkeypatch):
+    """A word that occurs once, and the parts of a long one, get the ids that the lattice says, whatever these are."""
+    import corpus_pipeline as p
+
+    real, long = pieces.lattice, "世" * 70 + "zyxq" + "界" * 30
+    other = lambda words, model: real(words, model).withColumn("ids", F.when(F.col("word").isin("▁zyxqvw", "世"), F.array(F.lit(300), F.lit(301))).otherwise(F.col("ids")))
+    rows = spark.createDataFrame([(1, "one two one"), (2, "two zyxqvw"), (3, long), (4, None)], "doc_id long, text string")
+    plain = {r.doc_id: r for r in p.encoding_stage(spark, rows, "").collect()}
+    monkeypatch.setattr(pieces, "lattice", other)
+    got = {r.doc_id: r for r in p.encoding_stage(spark, rows, "").collect()}
+    assert all(plain[i].round_trip for i in plain) and {i: got[i].round_trip for i in got} == {1: True, 2: False, 3: False, 4: True}
+    assert got[1] == plain[1] and got[2].token_ids[-2:] == [300, 301] and got[3].token_ids.count(300) == 70
+
+
+def test_blocks_of_texts_equal_the_library(spark, docs, monkeypatch):
+    spm = pytest.importorskip("sentencepiece")
+    lib = spm.SentencePieceProcessor(model_file=token_file(pieces.MODEL))
+    odd = [*odd_texts(), "=" * 100 + " " * 200 + "x", "-" * 1500, "https://" + "a1b2/" * 40, "hello" * 60 + "é" * 70, "\n\n", "a\r\nb"]
+    extra = spark.createDataFrame([*((9000 + i, t) for i, t in enumerate(odd)), (None, "again"), (None, "again")], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionAll(extra)
+    got = pieces.encode_by_blocks(both).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.token_ids) for r in got) == sorted((r.doc_id or 0, len(ids), ids) for r in both.collect() for ids in [lib.encode(r.text or "")])
+    digests = sorted((r.doc_id or 0, r.ids_sha256) for r in pieces.encode_by_blocks(both, digest=True).collect())
+    assert digests == sorted((r.doc_id or 0, hashlib.sha256(np.array(r.token_ids, "<u4").tobytes()).hexdigest()) for r in got)
+    assert pieces.encode_by_blocks(docs.limit(0)).count() == 0
+
+
+def test_parts_of_long_words(spark):
+    path = token_file(pieces.MODEL)
+    model = pieces.load(path)
+    words = ["▁" + "thonwhre" * 20, "世界" * 50, "=" * 500, "▁" * 63, "x1" * 40 + "é" * 3, "▁short"]
+    for w in words:
+        found = model.parts(w)
+        assert "".join(found) == w and b"".join(map(model.encode_word, found)) == model.encode_word(w)
+    assert model.parts("世界" * 50) == list("世界" * 50)
+    got = {r.word: r.ids for r in pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), path).collect()}
+    assert got == {w: np.frombuffer(model.encode_word(w), np.int32).tolist() for w in words}
+
+
 def test_quality_counts(docs):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     for r in docs.collect():
