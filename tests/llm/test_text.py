@@ -173,6 +173,35 @@ def test_blocks_of_texts_equal_the_library(spark, docs, monkeypatch):
     assert pieces.encode_by_blocks(docs.limit(0)).count() == 0
 
 
+def test_a_task_holds_the_words_of_one_block(monkeypatch):
+    path = token_file(pieces.MODEL)
+    model = pieces.load(path)
+    monkeypatch.setattr(pieces, "BLOCK", 40)
+    monkeypatch.setattr(pieces, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(pieces.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    texts = [" ".join(f"w{i}x{k}" for k in range(5)) for i in range(40)]
+    rows = [r for b in pieces._spread(path)([pa.record_batch([pa.array(range(40), pa.int64()), pa.array(texts)], ["doc_id", "text"])]) for r in b.to_pylist()]
+    found = {k: [r for r in rows if r["block"] == k] for k in sorted({r["block"] for r in rows})}
+    assert len(found) > 5 and all(sum(r["word"] is not None for r in x) < 40 for x in found.values())
+    ids = pa.list_(pa.int32())
+    batches = []
+    for x in found.values():
+        words = [r["word"] for r in x if r["word"] is not None]
+        kept = [r for r in x if r["word"] is None]
+        values = [np.frombuffer(model.encode_word(w), np.int32).tolist() for w in words] + [None] * len(kept)
+        batches.append(pa.record_batch([pa.array([r["block"] for r in x]), pa.array([None] * len(words) + [r["doc_id"] for r in kept], pa.int64()), pa.array(words + [r["text"] for r in kept]), pa.array(values, ids)], ["block", "doc_id", "text", "ids"]))
+    memo, got = model.memo, []
+    try:
+        for b in pieces._encode_blocks(path, False)(batches):
+            got += b.to_pylist()
+            assert len(model.memo) < 40
+        with pytest.raises(ValueError, match="lattice"):
+            model.encode("unheard")
+    finally:
+        model.memo = memo
+    assert [r["token_ids"] for r in sorted(got, key=lambda r: r["doc_id"])] == [model.encode(t).tolist() for t in texts]
+
+
 def test_parts_of_long_words(spark):
     path = token_file(pieces.MODEL)
     model = pieces.load(path)
