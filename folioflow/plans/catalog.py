@@ -116,7 +116,7 @@ def recency_filter(spark, d):
 
 @query("""SELECT event_id, coalesce(epoch(ts) // 1 - lag(epoch(ts) // 1) OVER (PARTITION BY user_id ORDER BY ts) < 3600, false) AS deferred FROM events""")
 def cooldown_gate(spark, d):
-    return loop.cooled_down(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 3600).select("event_id", "deferred")
+    return loop.cooled_down(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 3600, "event_id").select("event_id", "deferred")
 
 
 @query("SELECT CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS wake, count(*) AS n FROM events GROUP BY 1")

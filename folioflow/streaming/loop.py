@@ -103,8 +103,9 @@ def wake_ups(events: DataFrame, ts: str, seconds: int) -> DataFrame:
     return events.groupBy(bucket.cast("bigint").alias("wake")).agg(F.count("*").alias("n"))
 
 
-def cooled_down(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Events with ``deferred``: less than ``seconds`` after the previous one of their key."""
-    at = F.unix_timestamp(ts)
-    gap = at - F.lag(at).over(Window.partitionBy(key).orderBy(ts))
+def cooled_down(events: DataFrame, key: str, ts: str, seconds: int, *ties: str) -> DataFrame:
+    """Events with ``deferred``: less than ``seconds``, with their fractions, after the previous one of their key.
+    ``ties``: columns that order events of one time, which is left open without them."""
+    at = F.unix_micros(ts) / 1e6
+    gap = at - F.lag(at).over(Window.partitionBy(key).orderBy(ts, *ties))
     return events.withColumn("deferred", F.coalesce(gap < seconds, F.lit(False)))
