@@ -120,13 +120,16 @@ class Pieces:
         """Do ids stand for a word's own bytes?"""
         return b"".join(map(self.out.__getitem__, ids)) == word.encode("utf-8", "surrogatepass")
 
-    def round_trips(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
-        """Is decoding each text's ids the text again? The ids of all texts are looked up at once."""
-        ends = np.cumsum([0, *map(len, ids)])
-        found = self.bytes_of.take(pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+    def bytes_of_all(self, ids: pa.Array, ends: np.ndarray) -> tuple[memoryview | bytes, list[int]]:
+        """The bytes of all ids in a row, looked up at once, and where those of the first ``ends`` ids end."""
+        found = self.bytes_of.take(ids)
         at = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[ends].tolist()
         data = found.buffers()[2]
-        raw = memoryview(data) if data is not None else b""
+        return memoryview(data) if data is not None else b"", at
+
+    def round_trips(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Is decoding each text's ids the text again? The ids of all texts are looked up at once."""
+        raw, at = self.bytes_of_all(pa.array(np.concatenate([np.empty(0, np.int32), *ids])), np.cumsum([0, *map(len, ids)]))
 
         def same(got: bytes, text: str) -> bool:
             plain = got.replace(SPACE_BYTES, b" ")
@@ -135,6 +138,14 @@ class Pieces:
 
         return [same(bytes(raw[i:k]), text) for i, k, text in zip(at, at[1:], texts)]
 
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """What lists of ids decode to, null for a null list, without Python numbers for the ids."""
+        ids, known = lists.flatten(), lists.is_valid().to_pylist()
+        if ids.null_count:
+            raise ValueError("a list of token ids holds a null")
+        raw, at = self.bytes_of_all(ids, np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()]))
+        return pa.array([self.text(bytes(raw[i:k])) if is_known else None for i, k, is_known in zip(at, at[1:], known)], pa.string())
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
@@ -257,8 +268,9 @@ def _word_counts(batches):
 
 
 def blocks(column: pa.Array):
-    """[start, end) of runs of a column's texts, each of about BLOCK bytes or one longer text."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    """[start, end) of runs of a column's texts or lists of ids, each of about BLOCK bytes or one longer row."""
+    size = pc.binary_length(column) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pc.multiply(pc.list_value_length(column).cast(pa.int64()), 4)
+    total = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     edges = [0, *(np.flatnonzero(np.diff(total // BLOCK)) + 1).tolist(), len(column)]
     return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
 
@@ -303,14 +315,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     no tokens; repeated rows are encoded each; other columns are ignored; an empty table gives none.
     ``memo``: words that a worker remembers at a time, at about 250 bytes each.
     """
-    spark, path = ready(docs.sparkSession), model or token_file(MODEL)
+    path = model or token_file(MODEL)
+    return _asked(docs, id_col, text_col).mapInArrow(_encode(path, _seed(docs, text_col, path), digest, memo), _columns(digest))
+
+
+def _asked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _seed(docs: DataFrame, text_col: str, path: str):
+    """The most frequent words and their ids from Spark's lattice, for every task."""
+    spark = ready(docs.sparkSession)
     rows = lattice(cut(frequent_words(docs, text_col)).repartition(8), path).toArrow()
     ids, known = rows["ids"].combine_chunks(), load(path)
     if not all(known.gives(i, w) for w, i in zip(rows["word"].to_pylist(), ids.to_pylist())):
         raise ValueError("the lattice lost a word's bytes")
-    seed = spark.sparkContext.broadcast((uuid.uuid4().hex, rows["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.asarray(ids.offsets)[1:-1] if len(ids) else np.empty(0, int)))
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return asked.mapInArrow(_encode(path, seed, digest, memo), _columns(digest))
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, rows["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.asarray(ids.offsets)[1:-1] if len(ids) else np.empty(0, int)))
 
 
 def _columns(digest: bool) -> str:
@@ -404,8 +424,7 @@ def encode_by_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark, path = ready(docs.sparkSession), model or token_file(MODEL)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pieces-{uuid.uuid4().hex}"
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    asked.mapInArrow(_spread(path), SPREAD).write.parquet(folder)
+    _asked(docs, id_col, text_col).mapInArrow(_spread(path), SPREAD).write.parquet(folder)
     spread = spark.read.schema(SPREAD).parquet(folder)
     words = spread.where("word is not null").groupBy("word").agg(F.collect_list("block").alias("blocks"))
     known = words.join(lattice(words.select("word"), path), "word").select(F.explode("blocks").alias("block"), F.lit(None).cast("long").alias("doc_id"), F.col("word").alias("text"), "ids")
@@ -414,21 +433,38 @@ def encode_by_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return dealt.mapInArrow(_encode_blocks(path, digest), _columns(digest))
 
 
-def _decode(model: str, names: list[str]):
+def _decode(model: str):
+    """Texts of ids, of as many lists at a time as hold about BLOCK bytes, however many rows a batch has."""
+
     def run(batches):
         pieces = load(model)
         for batch in batches:
-            texts = [None if x is None else pieces.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names)
+            for a, b in blocks(batch.column(1)):
+                yield pa.record_batch([batch.column(0)[a:b], pieces.texts(batch.column(1)[a:b])], ["doc_id", "text"])
 
     return run
 
 
+DECODED_COLUMNS = "doc_id long, text string"
+
+
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", model: str | None = None) -> DataFrame:
     """(doc_id, text) of token id lists; a null list gives a null text."""
     ready(tokens.sparkSession)
     asked = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return asked.mapInArrow(_decode(model or token_file(MODEL), ["doc_id", "text"]), "doc_id long, text string")
+    return asked.mapInArrow(_decode(model or token_file(MODEL)), DECODED_COLUMNS)
+
+
+def _there_and_back(model: str, seed, memo: int):
+    encoded, decoded = _encode(model, seed, False, memo), _decode(model)
+    return lambda batches: decoded(batch.select(["doc_id", "token_ids"]) for batch in encoded(batches))
+
+
+def there_and_back(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, memo: int = 1 << 17) -> DataFrame:
+    """The rows of ``decode(encode(docs))``, encoded and decoded by one worker, about a megabyte of ids at a time:
+    as two steps, each core would have two workers, and ids would be rows between them."""
+    path = model or token_file(MODEL)
+    return _asked(docs, id_col, text_col).mapInArrow(_there_and_back(path, _seed(docs, text_col, path), memo), DECODED_COLUMNS)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,7 +473,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentencepiece_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again: doc_id, n_chars and the SHA-256 of the decoded text."""
-    text = decode(encode(table(spark, sf_dir, "documents"))).withColumn("text", F.coalesce("text", F.lit("")))
+    text = there_and_back(table(spark, sf_dir, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
     return text.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -492,3 +492,32 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_decoding_holds_few_ids_at_a_time(monkeypatch):
+    path = token_file(pieces.MODEL)
+    model = pieces.load(path)
+    texts = [*odd_texts(), None, "", " x", "word " * 3000, "a▁b"]
+    lists = pa.array([None if t is None else model.encode(t) for t in texts], pa.list_(pa.int32()))
+    batch = pa.record_batch([pa.array(range(len(texts))), lists], ["doc_id", "ids"])
+    monkeypatch.setattr(pieces, "BLOCK", 4000)
+    got = list(pieces._decode(path)([batch, batch.slice(3, 2), batch.slice(0, 0)]))
+    # Beside one longer text, a block holds few ids, however many rows a batch has.
+    held = [[len(lists[i].as_py() or []) for i in b["doc_id"].to_pylist()] for b in got]
+    assert len(got) > 10 and all(sum(n) - max(n) <= 1000 for n in held)
+    want = [None if t is None else model.decode(model.encode(t).tolist()) for t in texts]
+    assert [x for b in got for x in b["text"].to_pylist()] == want + want[3:5]
+    # A byte that is no text of its own, and ids that aren't any.
+    assert model.texts(pa.array([[model.bytes_id + 0xE9], []], pa.list_(pa.int32()))).to_pylist() == ["�", ""]
+    for wrong in ([None], [len(model.out)]):
+        with pytest.raises((ValueError, IndexError)):
+            model.texts(pa.array([wrong], pa.list_(pa.int32())))
+
+
+def test_there_and_back_is_one_python_step(spark, docs):
+    extra = spark.createDataFrame([(9000 + i, t) for i, t in enumerate([*odd_texts(), "a▁b", "same", "same"])], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionAll(extra)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert rows(pieces.there_and_back(both, memo=50)) == rows(pieces.decode(pieces.encode(both)))
+    assert pieces.there_and_back(docs.limit(0)).count() == 0
+    assert pieces.sentencepiece_decode(spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
