@@ -281,7 +281,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.sum("n").alias("count")).where("count > 1").orderBy(F.desc("count"), "word").limit(HEAD).select("word")
 
 
-def _encode(model: str, seed, digest: bool, memo: int):
+def _encode(model: str, seed, digest: bool, memo: int, trips: bool = True):
     def run(batches):
         pieces = load(model)
         if pieces.seeded != seed.value[0]:  # else a task before has filled this worker's memo
@@ -289,16 +289,17 @@ def _encode(model: str, seed, digest: bool, memo: int):
             known = dict(zip(words, (x.tobytes() for x in np.split(ids, ends))))
             pieces.memo, pieces.seeded = Memo(pieces.encode_word, memo, known), token
         for batch in batches:
-            yield from _coded(pieces, batch.column(0), batch.column(1), digest)
+            yield from _coded(pieces, batch.column(0), batch.column(1), digest, trips)
 
     return run
 
 
-def _coded(pieces: Pieces, doc_ids: pa.Array, column: pa.Array, digest: bool):
+def _coded(pieces: Pieces, doc_ids: pa.Array, column: pa.Array, digest: bool, trips: bool = True):
+    """Rows of ``encode``; round_trip is null without ``trips``, for who decodes the ids anyway."""
     for a, b in blocks(column):
         texts = [text or "" for text in column[a:b].to_pylist()]
         coded = [pieces.encode(text) for text in texts]
-        n, trip = [len(ids) for ids in coded], pieces.round_trips(texts, coded)
+        n, trip = [len(ids) for ids in coded], pieces.round_trips(texts, coded) if trips else [None] * len(coded)
         if digest:
             tail = pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in coded], pa.string())
         else:
@@ -456,7 +457,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids"
 
 
 def _there_and_back(model: str, seed, memo: int):
-    encoded, decoded = _encode(model, seed, False, memo), _decode(model)
+    encoded, decoded = _encode(model, seed, False, memo, trips=False), _decode(model)
     return lambda batches: decoded(batch.select(["doc_id", "token_ids"]) for batch in encoded(batches))
 
 
